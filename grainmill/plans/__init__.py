@@ -1,4 +1,5 @@
 """Registered queries over the relational tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from grainmill.plans.relational import ORACLES, QUERIES, flagship
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
