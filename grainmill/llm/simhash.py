@@ -21,8 +21,9 @@ Skew and scale
   bits outside its key are cut into max_bits+1 parts, one of which is equal in any pair that links,
   and each part gives a new, longer key. As the fingerprints of a lane are distinct, a list whose
   key covers b bits has at most 2^(64-b) members, so refinement ends. No list is cut off.
-* Components: alternating large-star and small-star steps on the links, each an aggregation and an
-  equi-join, each written to the shared folder. Nothing but row counts reaches the driver.
+* Components: tasks contract the links they hold, then alternating large-star and small-star steps,
+  each an aggregation and an equi-join, each written to the shared folder. Nothing but row counts
+  reaches the driver.
 
 With `lanes` > 1 a document has several independent fingerprints, and links where any lane is
 within max_bits. One lane finds near copies of a Jaccard similarity of 0.9 (a tenth of the bits
@@ -106,7 +107,8 @@ def _links_within(node: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[list
     """A spanning forest of the links among the fingerprints of one list: tallied, filtered, verified, united."""
     n = len(node)
     root = list(range(n))
-    bytes8 = np.ascontiguousarray(fp).view(np.uint8).reshape(n, 8)
+    fp = np.ascontiguousarray(fp, np.int64).view(np.uint64)  # of signed numbers numpy counts the bits of the size
+    bytes8 = fp.view(np.uint8).reshape(n, 8)
     a_out, b_out = [], []
 
     def find(i: int) -> int:
@@ -212,8 +214,35 @@ def links(nodes: DataFrame, lanes: int = 1, max_bits: int = 3, max_list: int = 4
         postings = written(again.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct(), "simhash-refined")
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, root): for each node of a link its component's smallest node, by large-star and small-star rounds."""
+def _contracted(edges: DataFrame, n_edges: int, per_task: int) -> DataFrame:
+    """The edges of each task as stars: every node with the smallest node that the task's edges lead to."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root.setdefault(up, up)
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        ends = [(x, r) for x in root if (r := find(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return edges.select("a", "b").coalesce(max(1, -(-n_edges // per_task))).mapInArrow(run, "a bigint, b bigint")
+
+
+def components(edges: DataFrame, max_rounds: int = 64, per_task: int = 200_000) -> DataFrame:
+    """(node, root): for each node of a link its component's smallest node.
+
+    Tasks first contract up to per_task links each (more than that makes more tasks). If that was one
+    task it has seen every link; else large-star and small-star rounds join what the tasks found.
+    """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -227,7 +256,12 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         return got.distinct()
 
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    n_edges = now.count()
+    local = written(_contracted(now, n_edges, per_task), "links")
+    forget(now)
+    now, mark = local, None
+    if n_edges <= per_task:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
         new = written(star(star(now, True), False), "links")
         state = tuple(new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
