@@ -136,12 +136,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_wo
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_words: int = 5, min_words: int = 20) -> DataFrame:
     """docs with the repeated passages cut out of the text, and `removed` (array of byte spans of the old text), `n_removed_words`, `n_chunks`."""
-    found = repeats(docs, id_col, text, mean_words).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
+    found = repeats(docs, id_col, text, mean_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("dup").alias("_dup"))
     d = docs.withColumn("_key", F.coalesce(_text_hash(text), F.lit(-1)))
     met = d.join(found.hint("shuffle_hash"), d[id_col].cast("bigint").eqNullSafe(found["_id"]) & (d["_key"] == found["_h"]), "left").drop("_id", "_h", "_key")
 
     def add(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts, dups = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, "dup"))
+        texts, dups = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, "_dup"))
         out, spans, cut_words, counts = [], [], [], []
         for t, dup in zip(texts, dups, strict=True):
             raw = t.encode("utf-8") if t else b""
