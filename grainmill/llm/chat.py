@@ -34,7 +34,7 @@ def _checks(args: Column, schemas: dict[str, dict]) -> Column:
     for tool, schema in schemas.items():
         props, ok = schema.get("properties", {}), F.schema_of_variant(args).rlike("^OBJECT<")
         for name in schema.get("required", []):
-            ok &= F.is_variant_null(F.try_variant_get(args, f'$["{name}"]', "variant")).isNotNull()
+            ok &= F.try_variant_get(args, f'$["{name}"]', "variant").isNotNull()
         for name, p in props.items():
             v = F.try_variant_get(args, f'$["{name}"]', "variant")
             kinds = [p["type"]] if isinstance(p.get("type"), str) else p.get("type", [])

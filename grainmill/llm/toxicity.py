@@ -1,10 +1,10 @@
 """Toxicity scoring with two class-conditional Kneser-Ney language models.
 
 Two interpolated Kneser-Ney bigram models are estimated, one on toxic and one on ordinary
-labelled texts. Both fall back to the *same* lowest order: pooled continuation counts (in how
-many different left contexts of either class a word was met), mixed with the word's share of
-the whole corpus. A word that neither class has seen often therefore costs both models nearly
-the same and cannot tip the comparison. A document's evidence is the difference of the two
+labelled texts: bigrams back off to words, words to their stems (first letters), and both classes'
+stems to the *same* lowest order, the shares that words and stems have in the whole corpus. What
+neither class has seen often therefore costs both models nearly the same and cannot tip the
+comparison, and a rare form of a frequent stem counts as its stem. A document's evidence is the difference of the two
 log-likelihoods, normalised for length; a two-feature logistic curve, fitted on labelled
 documents that the language models have not seen, maps it to a score in 0..1.
 
@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from grainmill.llm._common import with_arrow
 
 _WORD = re.compile(r"\w+")
+#: Letters of a word that make its stem.
+STEM = 4
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,22 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def stem(word: str) -> str:
+    """A word's first letters, marked so that no word is mistaken for them."""
+    return "\0" + word[:STEM]
+
+
 def bucket_of(word: str, n_buckets: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_buckets
 
 
+def _discounted(counts: np.ndarray, discount: float) -> tuple[np.ndarray, float]:
+    """What is left of each count, as a share of all, and the share that the discounts set free."""
+    total = max(counts.sum(), 1.0)
+    kept = np.maximum(counts - discount, 0) / total
+    return kept, max(1 - kept.sum(), 1e-6)
+
+
 class _ClassModel:
     """Kneser-Ney counts of one class over the shared vocabulary; id 0 is any unknown word, and the start.
 
@@ -83,11 +97,6 @@ class _ClassModel:
         self.context = np.bincount(ctx, weights=self.n, minlength=size)
         self.discount = discount
 
-    def unigram_p(self, shared: np.ndarray) -> np.ndarray:
-        total = max(self.unigram.sum(), 1.0)
-        kept = np.maximum(self.unigram - self.discount, 0)
-        return kept / total + max(1 - kept.sum() / total, 1e-6) * shared
-
     def backoff(self) -> np.ndarray:
         """Per left context, the mass that discounting frees for the lower order; all of it where nothing was seen."""
         kept = np.bincount(self.keys // self.size, weights=np.maximum(self.n - self.discount, 0), minlength=self.size)
@@ -111,14 +120,27 @@ class ToxicityModel:
         encode = lambda docs: [np.fromiter((vocab[w] for w in d), np.int64, len(d)) for d in docs if d]
         models = [_ClassModel(encode(docs), size, config.discount) for docs in (toxic, ordinary)]
         pooled = np.unique(np.concatenate([m.keys for m in models]))
+        stems: dict[str, int] = {}
+        stem_of = np.zeros(size, np.int64)
+        for w, i in vocab.items():
+            stem_of[i] = stems.setdefault(stem(w), len(stems) + 1)
+        n_stems = len(stems) + 1
+        share = lambda names, n: np.concatenate(([1.0 / max(len(base), 1)], np.maximum(base[np.fromiter((bucket_of(x, len(base)) for x in names), np.int64, n)], 1e-12)))
+        word_share, stem_share = share(vocab, len(vocab)), share(stems, len(stems))
         continuation = np.bincount(pooled % size, minlength=size).astype(np.float64)
-        share = np.zeros(size)
-        share[1:] = base[np.fromiter((bucket_of(w, len(base)) for w in vocab), np.int64, len(vocab))]
-        share[0] = 1.0 / max(len(base), 1)
-        k = config.base_weight
-        shared = (1 - k) * continuation / max(continuation.sum(), 1.0) + k * np.maximum(share, 1e-12)
-        p_t, p_o = (m.unigram_p(shared) for m in models)
+        mixed = config.base_weight * word_share + (1 - config.base_weight) * continuation / max(continuation.sum(), 1.0)
+        within = np.minimum(mixed / np.maximum(stem_share[stem_of], 1e-12), 1.0)
+        p_stem, p_word, freed = [], [], []
+        for m in models:
+            kept, rest = _discounted(m.unigram, config.discount)
+            k2, r2 = _discounted(np.bincount(stem_of, weights=m.unigram, minlength=n_stems), config.discount)
+            p_stem.append(k2 + r2 * stem_share)
+            p_word.append(kept + rest * p_stem[-1][stem_of] * within)
+            freed.append(rest)
+        p_t, p_o = p_word
+        stem_llr = np.log(freed[0] * p_stem[0]) - np.log(freed[1] * p_stem[1])
         word_llr = np.log(p_t) - np.log(p_o)
+        word_llr[0] = stem_llr[0]
         b_t, b_o = (m.backoff() for m in models)
         ctx_llr = np.log(b_t) - np.log(b_o)
         right, ctx = pooled % size, pooled // size
@@ -129,24 +151,28 @@ class ToxicityModel:
             n = np.where(m.keys[at] == pooled, m.n[at], 0) if len(m.keys) else np.zeros(len(pooled))
             p2.append(np.maximum(n - m.discount, 0) / np.maximum(m.context[ctx], 1) + b[ctx] * p1[right])
         extra = np.log(p2[0]) - np.log(p2[1]) - ctx_llr[ctx] - word_llr[right]
-        # A word or bigram of which nothing survives the discount scores exactly as an unknown one: it needs no entry.
+        # What survives no discount scores exactly as its stem, and a stem of which nothing survives as an unknown one: neither needs an entry.
         used = np.zeros(size, bool)
         told = np.abs(extra) > 1e-9
         used[right[told]] = used[ctx[told]] = True
-        used |= (np.abs(word_llr - word_llr[0]) > 1e-9) | (np.abs(ctx_llr) > 1e-9)
+        used |= (np.abs(word_llr - stem_llr[stem_of]) > 1e-9) | (np.abs(ctx_llr) > 1e-9)
         used[0] = True
         new_id = np.cumsum(used) - 1
-        kept = int(used.sum())
+        marked = np.flatnonzero(np.abs(stem_llr - stem_llr[0]) > 1e-9)
+        kept = int(used.sum()) + len(marked)
         keys = new_id[ctx[told]] * kept + new_id[right[told]]
         order = np.argsort(keys)
         small = {w: int(new_id[i]) for w, i in vocab.items() if used[i]}
-        return cls(small, word_llr[used], ctx_llr[used], keys[order], extra[told][order], config)
+        at = {int(s): int(used.sum()) + k for k, s in enumerate(marked)}
+        small |= {x: at[i] for x, i in stems.items() if i in at}
+        llr = np.concatenate((word_llr[used], stem_llr[marked]))
+        return cls(small, llr, np.concatenate((ctx_llr[used], np.zeros(len(marked)))), keys[order], extra[told][order], config)
 
     def llr(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per document: the sum of log-likelihood ratios, the part of it beyond `tail` a word, and the number of words."""
         lengths = np.fromiter((len(d) for d in docs), np.int64, len(docs))
         get = self.vocab.get
-        ids = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, int(lengths.sum()))
+        ids = np.fromiter((i if (i := get(w)) is not None else get("\0" + w[:STEM], 0) for d in docs for w in d), np.int64, int(lengths.sum()))
         total, strong = np.zeros(len(docs)), np.zeros(len(docs))
         if len(ids):
             starts = np.cumsum(lengths) - lengths
@@ -202,7 +228,7 @@ class _Constant:
 
 
 def corpus_share(docs: DataFrame, n_buckets: int, text: str = "text") -> np.ndarray:
-    """How often the words of each hashed bucket occur in all texts, as a share; one partial table per task, summed by Spark."""
+    """How often the words and the stems of each hashed bucket occur in all texts, as a share of all words; one partial table per task, summed by Spark."""
 
     def count(batches):
         table = np.zeros(n_buckets, np.int64)
@@ -210,6 +236,10 @@ def corpus_share(docs: DataFrame, n_buckets: int, text: str = "text") -> np.ndar
             seen: Counter = Counter()
             for t in b.column(0).to_pylist():
                 seen.update(words(t))
+            stems: Counter = Counter()
+            for w, n in seen.items():
+                stems[stem(w)] += n
+            seen.update(stems)
             if seen:
                 at = np.fromiter((bucket_of(w, n_buckets) for w in seen), np.int64, len(seen))
                 table += np.bincount(at, weights=np.fromiter(seen.values(), np.int64, len(seen)), minlength=n_buckets).astype(np.int64)
@@ -219,7 +249,7 @@ def corpus_share(docs: DataFrame, n_buckets: int, text: str = "text") -> np.ndar
     summed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n_buckets)
     out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    return out / max(out.sum(), 1)
+    return out / max(out.sum() / 2, 1)
 
 
 def _sample(labelled: DataFrame, docs: DataFrame, text: str, config: KneserNeyConfig) -> list[str]:
