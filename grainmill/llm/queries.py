@@ -104,3 +104,52 @@ ORACLES = {
         m AS (SELECT *, max(page_id) OVER (PARTITION BY h) k FROM p)
         SELECT page_id, b payload_bytes, sha1(h) payload_digest, CASE WHEN b >= 1000 AND page_id <> k THEN 'revisit' ELSE 'response' END record_type, CASE WHEN b >= 1000 AND page_id <> k THEN k END refers_to FROM m""",
 }
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SPACE_RUN = r"[ \t\n\x0B\f\r]+"
+_N_WORDS = f"len(list_filter(string_split_regex(x, '{_SPACE_RUN}'), lambda w: w <> ''))"
+_PASSES = " AND ".join([
+    f"regexp_matches(right(rtrim(x), 12), {_quoted(quality.SENTENCE_END)})",
+    *(f"NOT contains(lower(x), {_quoted(b)})" for b in quality.BOILERPLATE),
+    f"NOT regexp_matches(x, {_quoted(quality.BARRED)})",
+    f"NOT len(regexp_extract_all(x, '{quality.SYMBOL}')) > 0.1 * {_N_WORDS}",
+    f"NOT regexp_matches(x, {_quoted(quality.MENU)})",
+])
+
+ORACLES["op8_quality_lines"] = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE_RUN}'), lambda w: w <> '') ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) lines FROM documents),
+    win AS (SELECT doc_id, p, ws[p : p + 2] w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) p FROM d)),
+    rep AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) q FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) c FROM win) WHERE c > 1) GROUP BY 1),
+    m AS (SELECT doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, len(regexp_extract_all(t, '{quality.SYMBOL}'))::BIGINT n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT n_dup_lines, coalesce(n, 0)::BIGINT n_repeat_words,
+        coalesce(list_sum(list_transform(list_filter(list_distinct(lines), lambda x: {_PASSES}), lambda x: {_N_WORDS})), 0)::BIGINT kept_words FROM d LEFT JOIN rep USING (doc_id))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_words >= 0.5 * n_words AS kept FROM m"""
+
+
+def _canonical(c: str) -> str:
+    c = f"lower({c})"
+    c = f"regexp_replace({c}, {_quoted(license_scan.COPYRIGHT_LINE)}, '', 'g')"
+    for a, b in license_scan.SPELLINGS.items():
+        c = f"replace({c}, {_quoted(a)}, {_quoted(b)})"
+    return f"trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+_TEXTS = [("text", k, t) for k, v in license_scan.KNOWN_TEXTS.items() for t in [v, *([f"{license_scan.TITLES[k]}\n{v}"] if license_scan.TITLES[k] else [])]]
+_LINES = [("line", k, f.format(n)) for k, names in license_scan.NAMES.items() for n in names for f in license_scan.FRAMES]
+
+ORACLES["op5_license_scan"] = f"""
+    WITH known AS (SELECT unit, sha256({_canonical("t")}) digest, min(license_id) license_id FROM (VALUES {", ".join(f"({_quoted(u)}, {_quoted(k)}, {_quoted(t)})" for u, k, t in _TEXTS + _LINES)}) v(unit, license_id, t) GROUP BY ALL),
+    d AS (SELECT doc_id, coalesce(text, '') t, sha256({_canonical("coalesce(text, '')")}) canonical_sha256 FROM documents),
+    l AS (SELECT doc_id, sha256({_canonical("x")}) digest FROM (SELECT doc_id, unnest(string_split(t, chr(10))) x FROM d)),
+    n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) notices FROM l JOIN known USING (digest) WHERE unit = 'line' GROUP BY 1)
+    SELECT doc_id, canonical_sha256, license_id, coalesce(notices, '') notices FROM d LEFT JOIN (SELECT * FROM known WHERE unit = 'text') k ON k.digest = canonical_sha256 LEFT JOIN n USING (doc_id)"""
+
+#: No turn of these tables holds a call or a result, so SQL has plain messages to compare; linking, order and validation are covered by tests.
+ORACLES["op7_chat"] = """
+    SELECT conv_id, turn, role, turn || ',0,0,' || turn AS rank, 0::BIGINT n_calls, 0::BIGINT n_valid_calls, 0::BIGINT n_open_calls, NULL::VARCHAR link,
+        '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json FROM conversations"""

@@ -38,8 +38,8 @@ def test_models_are_distributions():
     config = t.KneserNeyConfig(n_buckets=64, discount=0.5, base_weight=0.5)
     ids = {w: i + 1 for i, w in enumerate("abcd")}
     m = t._ClassModel([np.array([ids[w] for w in d]) for d in docs], 5, config.discount)
-    shared = np.full(5, 0.2)
-    assert abs(m.unigram_p(shared).sum() - 1) < 1e-9
+    kept, freed = t._discounted(m.unigram, config.discount)
+    assert abs(kept.sum() + freed - 1) < 1e-9
     # a stands behind the start, b, d; b behind the start and a; c behind b; d behind b
     assert m.unigram[1:].tolist() == [3, 2, 1, 1]
     assert ((0 < m.backoff()) & (m.backoff() <= 1)).all()
