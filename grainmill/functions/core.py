@@ -100,25 +100,40 @@ def number_rows(data: DataFrame, order_by: str | Sequence[str], name: str) -> Da
     numbered within each range, and the counts of the ranges before give the offsets.
     """
     order = require(data, order_by)
-    lead = order[0]
-    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = [named(c).asc_nulls_first() for c in order]
-    if not isinstance(kind(data, lead), (*NUMERIC, *TEMPORAL)) or parts < 2:
+    ranged = _ranged(data, order[0])
+    if ranged is None:
         return data.withColumn(name, F.row_number().over(Window.orderBy(*full)).cast("bigint") - 1)
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*full)) - 1
+    return ranged.withColumn(name, local + _before(ranged, F.count(F.lit(1)))).drop("_range")
+
+
+def running_total(data: DataFrame, order_by: str, amount: str, name: str) -> DataFrame:
+    """data with the running total of a whole-number column in the order of a numeric column of different values, by the same ranges."""
+    ranged = _ranged(data, order_by)
+    window = Window.partitionBy("_range").orderBy(named(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn(name, F.sum(named(amount)).over(window) + _before(ranged, F.sum(named(amount)))).drop("_range")
+
+
+def _ranged(data: DataFrame, lead: str) -> DataFrame | None:
+    """data with `_range`, the number of the quantile range of its lead column; None if that has no quantiles."""
+    parts = max(2, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not isinstance(kind(data, lead), (*NUMERIC, *TEMPORAL)):
+        return None
     key = present(data, lead) if isinstance(kind(data, lead), NUMERIC) else _micros(data, lead)
     cuts = fit(data, {"q": F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)})["q"] or []
-    cuts = sorted(set(cuts))
-    part = F.when(key.isNull(), F.lit(0)).otherwise(sum((F.when(key > c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    ranged = data.withColumn("_range", part)
-    before, offset = {}, 0
-    for r in ranged.groupBy("_range").count().orderBy("_range").collect():
-        before[r["_range"]] = offset
-        offset += r["count"]
-    if not before:
-        return data.withColumn(name, F.lit(0).cast("bigint"))
-    offsets = F.create_map(*(F.lit(x).cast("bigint") if i % 2 else F.lit(x) for kv in before.items() for i, x in enumerate(kv)))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*full)) - 1
-    return ranged.withColumn(name, local + offsets[F.col("_range")]).drop("_range")
+    cuts = F.lit(sorted(set(cuts))).cast("array<double>" if isinstance(kind(data, lead), FLOATING) else "array<bigint>") if cuts else F.array().cast("array<bigint>")
+    part = F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c < key)))
+    return data.withColumn("_range", part)
+
+
+def _before(ranged: DataFrame, amount: Column) -> Column:
+    """What the ranges before a row's hold altogether: one row a range comes to the driver."""
+    before, offset = [], 0
+    for r in ranged.groupBy("_range").agg(amount.alias("n")).orderBy("_range").collect():
+        before += [F.lit(r["_range"]), F.lit(offset).cast("bigint")]
+        offset += int(r["n"])
+    return F.create_map(*before)[F.col("_range")] if before else F.lit(0).cast("bigint")
 
 
 def _micros(data: DataFrame, name: str) -> Column:

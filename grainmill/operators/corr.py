@@ -10,18 +10,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.functions.core import fit, is_numeric, n_unique, named, number, require, string_columns, with_columns
+from grainmill.functions.core import fit, is_numeric, n_unique, named, number, require, running_total, string_columns, with_columns
 
 
-def average_ranks(data: DataFrame, name: str, by: str) -> DataFrame:
-    """(by, name): the average rank of each row's value, missing values left out.
-
-    Ranks are counted on the different values only: their counts, running totals, and one join back.
-    """
+def average_ranks(data: DataFrame, name: str) -> DataFrame:
+    """(_v, _r_name): the average rank of each different value, missing ones left out: the rows up to it less half of its ties."""
     counts = data.where(number(data, name).isNotNull()).groupBy(number(data, name).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select("_v", (upto - (F.col("_c") - 1) / 2).alias(f"_r_{name}"))
-    return ranks
+    total = running_total(counts, "_v", "_c", "_t")
+    return total.select("_v", (F.col("_t") - (F.col("_c") - 1) / 2).alias(f"_r_{name}"))
 
 
 def _spearman(data: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
@@ -37,7 +33,7 @@ def _spearman(data: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[s
             continue
         ranked = rows
         for c in sorted({c for p in batch for c in p}):
-            r = average_ranks(rows, c, c)
+            r = average_ranks(rows, c)
             ranked = ranked.join(r, number(rows, c) == F.col("_v"), "inner").drop("_v")
         got = fit(ranked, {f"{i}": F.corr(F.col(f"_r_{a}"), F.col(f"_r_{b}")) for i, (a, b) in enumerate(batch)})
         out |= {p: got[str(i)] for i, p in enumerate(batch)}
