@@ -35,11 +35,10 @@ def brute(rows, mean_words=5, min_words=20):
         data = (t or "").encode()
         at, n = s.chunk_starts(np.frombuffer(data, np.uint8), mean_words)
         ends = [*at[1:].tolist(), len(data)]
-        dup, before = [], set(seen)
+        dup = []
         for c in s.chunks(data, mean_words):
             dup.append(c in seen)
             seen.add(c)
-        del before
         total, runs, k = 0, [], 0
         while k < len(dup):
             j = k
