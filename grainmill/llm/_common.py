@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = os.path.join(tempfile.gettempdir(), f"grainmill-{os.getpid()}")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
     return f"file://{folder}"
 
@@ -48,6 +51,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow, with this package's folder on the Python path of the workers, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df.mapInArrow(run, schema)
+
+
 def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], outputs: dict[str, T.DataType], keep: list[str] | None = None) -> DataFrame:
     """df with columns that fn computes batch by batch; a column of the same name is replaced. keep: the columns to pass on."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in outputs]
@@ -59,4 +72,4 @@ def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]
                 new = fn(b)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(new[k] for k in outputs)], names=[*keep, *outputs])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from grainmill.llm._common import forget, with_arrow, written
+from grainmill.llm._common import forget, map_arrow, with_arrow, written
 
 _BLOCK = 1 << 15
 _LANE_SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -177,7 +177,7 @@ def _compare(postings: DataFrame, max_bits: int, max_list: int) -> DataFrame:
 
     order = ["lane", "mask", "key"]
     dealt = postings.select(*order, "node", "fp").repartition(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "lane int, mask bigint, key bigint, a bigint, b bigint")
+    return map_arrow(dealt, run, "lane int, mask bigint, key bigint, a bigint, b bigint")
 
 
 def _split(mask: int, max_bits: int) -> list[int]:
@@ -234,7 +234,7 @@ def _contracted(edges: DataFrame, n_edges: int, per_task: int) -> DataFrame:
         ends = [(x, r) for x in root if (r := find(x)) != x]
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return edges.select("a", "b").coalesce(max(1, -(-n_edges // per_task))).mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(edges.select("a", "b").coalesce(max(1, -(-n_edges // per_task))), run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, max_rounds: int = 64, per_task: int = 200_000) -> DataFrame:

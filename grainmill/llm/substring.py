@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from grainmill.llm._common import with_arrow
+from grainmill.llm._common import map_arrow, with_arrow
 
 WINDOW_BYTES = 16
 #: One 16-bit gear value per byte, from a hash of the byte.
@@ -117,7 +117,7 @@ def chunk_rows(docs: DataFrame, id_col: str, text: str, mean_words: int, window:
             yield flush(parts)
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text}`").cast("string").cast("binary"), _text_hash(text))
-    return narrow.mapInArrow(run, "digest bigint, salt int, id bigint, pos bigint")
+    return map_arrow(narrow, run, "digest bigint, salt int, id bigint, pos bigint")
 
 
 def _text_hash(text: str):

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from grainmill.llm._common import with_arrow
+from grainmill.llm._common import map_arrow, with_arrow
 
 _WORD = re.compile(r"\w+")
 #: Letters of a word that make its stem.
@@ -246,7 +246,7 @@ def corpus_share(docs: DataFrame, n_buckets: int, text: str = "text") -> np.ndar
         hit = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(table[hit], pa.int64())], names=["bucket", "n"])
 
-    summed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = map_arrow(docs.select(F.col(text).cast("string").alias("text")), count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n_buckets)
     out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
     return out / max(out.sum() / 2, 1)

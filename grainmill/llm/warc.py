@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm._common import delete_path, fresh_path, written
+from grainmill.llm._common import delete_path, fresh_path, map_arrow, written
 
 #: Fixed values of the formats.
 ARC_FIELDS = {
@@ -186,7 +186,7 @@ def write_arc(pages: DataFrame, path: str, url: str = "url", payload: str = "htm
         yield from _batched(lines(), _LINE, lambda r: len(r[0]))
 
     rows = pages.select(F.col(f"`{url}`").cast("string"), F.col(f"`{payload}`").cast("string"), F.col(f"`{key}`").cast("bigint"))
-    _save(rows.mapInArrow(run, "value binary"), path, "\n")
+    _save(map_arrow(rows, run, "value binary"), path, "\n")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -207,7 +207,7 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
 
         yield from _batched(rows(), schema, lambda r: len(r[6]))
 
-    return _files(spark, path).mapInArrow(run, RECORD_SCHEMA)
+    return map_arrow(_files(spark, path), run, RECORD_SCHEMA)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = 1000) -> None:
@@ -230,7 +230,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int
 
         yield from _batched(lines(), _LINE, lambda r: len(r[0]))
 
-    _save(met.mapInArrow(run, "value binary"), warc_path, "\r\n\r\n")
+    _save(map_arrow(met, run, "value binary"), warc_path, "\r\n\r\n")
 
 
 def _as_warc(x: dict) -> bytes:
@@ -268,7 +268,7 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
 
         yield from _batched(rows(), schema)
 
-    return _files(spark, path).mapInArrow(run, WARC_SCHEMA)
+    return map_arrow(_files(spark, path), run, WARC_SCHEMA)
 
 
 def round_trip(pages: DataFrame, url: str = "url", payload: str = "html", key: str = "page_id", min_revisit: int = 1000) -> DataFrame:
