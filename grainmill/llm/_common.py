@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
+BATCH_ROWS = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from `spark.checkpoint.dir`; a temporary one only where that is unset on local[*]."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -52,7 +55,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow, with this package's folder on the Python path of the workers, wherever the driver was started."""
+    """df.mapInArrow, with this package's folder on the Python path of the workers, wherever the driver was started.
+
+    Whole texts are large rows: where the session has Spark's default of 10,000 rows a batch, it gets BATCH_ROWS.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = df.sparkSession.sparkContext.environment
     paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]

@@ -121,7 +121,7 @@ def _splitter(pattern: str):
 class Codec:
     """Encoder and decoder for one rank file and one pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 200_000):
+    def __init__(self, path: str, pattern: str, remember: int = 50_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = list(self.ranks)

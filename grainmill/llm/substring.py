@@ -80,7 +80,7 @@ def repeated_runs(dup: np.ndarray, words: np.ndarray, min_words: int) -> list[tu
     return [(int(i), int(j)) for i, j in zip(edge[::2], edge[1::2], strict=True) if total[j] - total[i] >= min_words]
 
 
-def chunk_rows(docs: DataFrame, id_col: str, text: str, mean_words: int, window: int = 1 << 20) -> DataFrame:
+def chunk_rows(docs: DataFrame, id_col: str, text: str, mean_words: int, window: int = 1 << 18) -> DataFrame:
     """(digest, salt, id, pos): the chunks of all texts; salt is 0 for chunks that are the first of a task's window, else the row's own."""
 
     def flush(parts):

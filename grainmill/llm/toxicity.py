@@ -232,17 +232,23 @@ def corpus_share(docs: DataFrame, n_buckets: int, text: str = "text") -> np.ndar
 
     def count(batches):
         table = np.zeros(n_buckets, np.int64)
-        for b in batches:
-            seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                seen.update(words(t))
+        seen: Counter = Counter()
+
+        def add() -> None:
             stems: Counter = Counter()
             for w, n in seen.items():
                 stems[stem(w)] += n
-            seen.update(stems)
-            if seen:
-                at = np.fromiter((bucket_of(w, n_buckets) for w in seen), np.int64, len(seen))
-                table += np.bincount(at, weights=np.fromiter(seen.values(), np.int64, len(seen)), minlength=n_buckets).astype(np.int64)
+            for counts in (seen, stems):
+                at = np.fromiter((bucket_of(w, n_buckets) for w in counts), np.int64, len(counts))
+                np.add.at(table, at, np.fromiter(counts.values(), np.int64, len(counts)))
+            seen.clear()
+
+        for b in batches:
+            for t in b.column(0):
+                seen.update(words(t.as_py()))
+                if len(seen) > 100_000:
+                    add()
+        add()
         hit = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(table[hit], pa.int64())], names=["bucket", "n"])
 
