@@ -295,19 +295,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(named, "_node").select(*[F.col(f"`{c}`") for c in kept], hex_digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each near-duplicate group: the row with the smallest (id, text hash), null ids last; of equal rows, one.
+def pick_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of docs, one row of each group of found (id, h, root): the smallest (id, text hash), null ids last; of equal rows, one.
 
     The choice is made on narrow rows. Texts are shuffled once, for the join with it.
     """
     key = F.xxhash64(F.col(f"`{text}`").cast("string"))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("h"), F.col(f"`{text}`").alias("t"))
-    found = near_duplicates(narrow, "id", "t", **how).groupBy("component_id", "id", "h").agg(F.count("*").alias("n"))
+    found = found.groupBy("root", "id", "h").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h", "n")).alias("p")
-    pick = found.groupBy("component_id").agg(first).select(F.col("p.id").alias("_id"), F.col("p.h").alias("_h"), F.col("p.n").alias("_n"))
+    pick = found.groupBy("root").agg(first).select(F.col("p.id").alias("_id"), F.col("p.h").alias("_h"), F.col("p.n").alias("_n"))
     pick = written(pick, "simhash-kept")
     d = docs.withColumn("_key", key)
     same = lambda p: d[id_col].eqNullSafe(p["_id"]) & (d["_key"] == p["_h"])
     single = d.join(pick.where("_n = 1").hint("shuffle_hash"), same(pick), "left_semi").drop("_key")
     repeated = d.join(pick.where("_n > 1").hint("shuffle_hash"), same(pick), "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
     return single if pick.where("_n > 1").limit(1).count() == 0 else single.unionByName(repeated)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One document of each near-duplicate group, as `pick_one` chooses it."""
+    key = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("h"), F.col(f"`{text}`").alias("t"))
+    found = near_duplicates(narrow, "id", "t", **how).select("id", "h", F.col("component_id").alias("root"))
+    return pick_one(docs, found, id_col, text)
