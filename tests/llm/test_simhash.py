@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from grainmill.llm import simhash
+from grainmill.llm import minhash, simhash
 
 SCHEMA = "doc_id bigint, text string, extra string"
 
@@ -119,3 +119,12 @@ def test_keep_one(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), width=5, lanes=8).collect()
     assert sorted((r.doc_id or -1, r.extra) for r in kept) == [(-1, "f"), (3, "b"), (9, "d")]
     assert simhash.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keep_one_tells_components_apart_whatever_their_ids(spark):
+    """Unrelated texts with null ids, and with one id, all stay; a copy among them goes."""
+    own = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcd"]
+    rows = [(None, own[0], "a"), (None, own[1], "b"), (None, own[1], "b"), (6, own[2], "c"), (6, own[3], "d")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for kept in (simhash.keep_one(docs, width=5, lanes=8), minhash.keep_one(docs)):
+        assert sorted(r.extra for r in kept.collect()) == ["a", "b", "c", "d"]
