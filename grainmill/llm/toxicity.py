@@ -11,10 +11,10 @@ documents that the language models have not seen, maps it to a score in 0..1.
 Bounds and scale
 * The class models are a classifier: they are fitted on a bounded sample of labelled rows
   (`max_docs_per_class`, `max_chars_per_class`, chosen by a hash of the text, whole texts).
-  What is sent to the executors is bounded by these parameters and by `n_buckets`.
-* The corpus share of a word comes from all texts of the corpus, counted into `n_buckets`
-  hashed buckets with one partial table per task; no text, word list or document list reaches
-  the driver.
+  What is sent to the executors is bounded by these parameters.
+* The corpus share of a word comes from all texts of the corpus: the words and stems of the
+  sample, which alone need one, are counted exactly with one partial table per task; no
+  document list reaches the driver.
 * Scoring is one pass without a shuffle, vectorised over Arrow batches.
 
 Defined results: a null or empty text has no words and gets the score of "no evidence"; texts
@@ -41,10 +41,9 @@ _WORD = re.compile(r"\w+")
 #: Letters of a word that make its stem.
 STEM = 4
 
-
 @dataclass(frozen=True)
 class KneserNeyConfig:
-    """Documented bounds of the fit; everything else follows the data."""
+    """Documented bounds of the fit; everything else follows the data. n_buckets is the share, inverted, of a word that the sample lacks."""
 
     max_docs_per_class: int = 4000
     max_chars_per_class: int = 6_000_000
@@ -111,7 +110,8 @@ class ToxicityModel:
         self.weights = np.zeros(4)
 
     @classmethod
-    def fit(cls, toxic: list[list[str]], ordinary: list[list[str]], base: np.ndarray, config: KneserNeyConfig):
+    def fit(cls, toxic: list[list[str]], ordinary: list[list[str]], base: np.ndarray | dict[str, float], config: KneserNeyConfig):
+        """base: the corpus share of each word and stem, or a table of shares by their hashes."""
         vocab: dict[str, int] = {}
         for doc in (*toxic, *ordinary):
             for w in doc:
@@ -125,7 +125,8 @@ class ToxicityModel:
         for w, i in vocab.items():
             stem_of[i] = stems.setdefault(stem(w), len(stems) + 1)
         n_stems = len(stems) + 1
-        share = lambda names, n: np.concatenate(([1.0 / max(len(base), 1)], np.maximum(base[np.fromiter((bucket_of(x, len(base)) for x in names), np.int64, n)], 1e-12)))
+        own = base.get if isinstance(base, dict) else lambda x, _: base[bucket_of(x, len(base))]
+        share = lambda names, n: np.concatenate(([1.0 / config.n_buckets], np.maximum(np.fromiter((own(x, 0.0) for x in names), np.float64, n), 1e-12)))
         word_share, stem_share = share(vocab, len(vocab)), share(stems, len(stems))
         continuation = np.bincount(pooled % size, minlength=size).astype(np.float64)
         mixed = config.base_weight * word_share + (1 - config.base_weight) * continuation / max(continuation.sum(), 1.0)
@@ -227,20 +228,21 @@ class _Constant:
         return np.full(len(docs), self.p)
 
 
-def corpus_share(docs: DataFrame, n_buckets: int, text: str = "text") -> np.ndarray:
-    """How often the words and the stems of each hashed bucket occur in all texts, as a share of all words; one partial table per task, summed by Spark."""
+def corpus_share(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, float]:
+    """How often each of these words and stems occurs in all texts, as a share of all words; one partial table per task, summed by Spark."""
+    sent = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(vocabulary)})
 
     def count(batches):
-        table = np.zeros(n_buckets, np.int64)
+        at = sent.value
+        table = np.zeros(len(at) + 1, np.int64)
         seen: Counter = Counter()
 
         def add() -> None:
-            stems: Counter = Counter()
             for w, n in seen.items():
-                stems[stem(w)] += n
-            for counts in (seen, stems):
-                at = np.fromiter((bucket_of(w, n_buckets) for w in counts), np.int64, len(counts))
-                np.add.at(table, at, np.fromiter(counts.values(), np.int64, len(counts)))
+                table[-1] += n
+                for x in (w, stem(w)):
+                    if (i := at.get(x)) is not None:
+                        table[i] += n
             seen.clear()
 
         for b in batches:
@@ -250,12 +252,13 @@ def corpus_share(docs: DataFrame, n_buckets: int, text: str = "text") -> np.ndar
                     add()
         add()
         hit = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(table[hit], pa.int64())], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(table[hit], pa.int64())], names=["word", "n"])
 
-    summed = map_arrow(docs.select(F.col(text).cast("string").alias("text")), count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_buckets)
-    out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    return out / max(out.sum() / 2, 1)
+    summed = map_arrow(docs.select(F.col(text).cast("string").alias("text")), count, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1)
+    out[summed.column("word").to_numpy()] = summed.column("n").to_numpy()
+    sent.unpersist()
+    return dict(zip(vocabulary, (out[:-1] / max(out[-1], 1)).tolist(), strict=True))
 
 
 def _sample(labelled: DataFrame, docs: DataFrame, text: str, config: KneserNeyConfig) -> list[str]:
@@ -286,7 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         return _Constant(float(share or 0.0))
     toxic, ordinary = ([words(t) for t in x] for x in texts)
     held = [int(len(x) * config.calibration_share) for x in (toxic, ordinary)]
-    model = ToxicityModel.fit(toxic[held[0] :], ordinary[held[1] :], corpus_share(docs, config.n_buckets, text), config)
+    learnt = dict.fromkeys(w for d in (*toxic[held[0] :], *ordinary[held[1] :]) for w in d)
+    vocabulary = list(learnt | dict.fromkeys(map(stem, learnt)))
+    model = ToxicityModel.fit(toxic[held[0] :], ordinary[held[1] :], corpus_share(docs, vocabulary, text), config)
     model.calibrate(toxic[: held[0]] or toxic, ordinary[: held[1]] or ordinary)
     return model
 

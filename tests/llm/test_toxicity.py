@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from grainmill.llm import toxicity as t
@@ -87,3 +88,10 @@ def test_edge_cases(spark, tables):
     none = t.classify(docs, labels.where("toxic = 0")).agg(F.max("score")).first()[0]
     assert none == 0.0
     assert t.classify(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
+
+
+def test_shares_of_the_corpus_do_not_collide(spark, tables):
+    """However few hashed buckets there are, a word's share is its own."""
+    docs, labels = tables
+    few, many = ({r.doc_id: r.score for r in t.classify(docs, labels, config=t.KneserNeyConfig(n_buckets=n)).collect()} for n in (16, 1 << 18))
+    assert all(abs(few[k] - many[k]) < 1e-9 for k in many)
