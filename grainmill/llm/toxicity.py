@@ -10,7 +10,8 @@ documents that the language models have not seen, maps it to a score in 0..1.
 
 Bounds and scale
 * The class models are a classifier: they are fitted on a bounded sample of labelled rows
-  (`max_docs_per_class`, `max_chars_per_class`, chosen by a hash of the text, whole texts).
+  (`max_docs_per_class`, `max_chars_per_class`, chosen by a hash of the text). A text gives at most
+  its first 1/TEXT_PARTS of the characters, so that none ends the sample; shorter ones are whole.
   What is sent to the executors is bounded by these parameters.
 * The corpus share of a word comes from all texts of the corpus: the words and stems of the
   sample, which alone need one, are counted exactly with one partial table per task; no
@@ -40,6 +41,9 @@ from grainmill.llm._common import map_arrow, with_arrow
 _WORD = re.compile(r"\w+")
 #: Letters of a word that make its stem.
 STEM = 4
+#: A text's part of max_chars_per_class is at most one in this many.
+TEXT_PARTS = 40
+
 
 @dataclass(frozen=True)
 class KneserNeyConfig:
@@ -262,19 +266,19 @@ def corpus_share(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
 
 
 def _sample(labelled: DataFrame, docs: DataFrame, text: str, config: KneserNeyConfig) -> list[str]:
-    """Distinct whole texts in the order of their hash, up to the documented bounds; the texts themselves are never shuffled."""
-    first = labelled.groupBy("h").agg(F.min("n").alias("n")).orderBy("h").limit(config.max_docs_per_class).collect()
+    """Distinct texts in the order of their hash, up to the documented bounds; one that does not fit is passed over. The texts themselves are never shuffled."""
+    part = max(config.max_chars_per_class // TEXT_PARTS, 1)
+    first = labelled.groupBy("h").agg(F.least(F.min("n"), F.lit(part)).alias("n")).orderBy("h").limit(config.max_docs_per_class).collect()
     chosen, chars = [], 0
     for r in first:
-        chars += r["n"]
-        if chosen and chars > config.max_chars_per_class:
-            break
-        chosen.append((r["h"],))
+        if chars + r["n"] <= config.max_chars_per_class:
+            chars += r["n"]
+            chosen.append((r["h"],))
     if not chosen:
         return []
     few = docs.sparkSession.createDataFrame(chosen, "h bigint")
     found = docs.select(F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).join(F.broadcast(few), "h")
-    return [r["t"] for r in found.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
+    return [r["t"] for r in found.groupBy("h").agg(F.min(F.substring("t", 1, part)).alias("t")).orderBy("h").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", learn_from: Column | None = None, config: KneserNeyConfig = KneserNeyConfig()) -> ToxicityModel | _Constant:

@@ -95,3 +95,14 @@ def test_shares_of_the_corpus_do_not_collide(spark, tables):
     docs, labels = tables
     few, many = ({r.doc_id: r.score for r in t.classify(docs, labels, config=t.KneserNeyConfig(n_buckets=n)).collect()} for n in (16, 1 << 18))
     assert all(abs(few[k] - many[k]) < 1e-9 for k in many)
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    """The first text in the sample's order is longer than all that a class may have; the others are still learnt from."""
+    signed = lambda x: int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64))
+    short = [f"text {k} " + "word " * 40 for k in range(100)]
+    long = next(x for k in range(100_000) if signed(x := f"long {k} " + "much " * 10_000) < min(map(signed, short)))
+    docs = spark.createDataFrame([(x,) for x in [*short, long]], "text string")
+    labelled = docs.select(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    got = t._sample(labelled, docs, "text", t.KneserNeyConfig(max_chars_per_class=40_000))
+    assert set(short) <= set(got) and sum(map(len, got)) <= 40_000
