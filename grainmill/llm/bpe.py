@@ -5,9 +5,10 @@ whole: one hash, one displacement, one comparison of bytes. Tier two: a miss is
 bytes with a heap of adjacent pairs over a linked list of positions, lowest rank first and leftmost
 among equals, in O(n log n) for a pre-token of n bytes.
 
-The rank file's path is a parameter; the driver reads it and sends the tables. Pre-tokens recur, so each
-worker remembers the results of recent ones in two generations of bounded size. Encoding and
-decoding are single passes without a shuffle, over whole texts.
+The rank file's path is a parameter; the driver reads it and sends the tables. Pre-tokens recur: texts
+are split in parts of up to PART characters, each part's different pre-tokens are looked up once, and Arrow
+gathers their ids back into texts. Each worker also remembers the results of recent pre-tokens in two
+generations of bounded size. Encoding and decoding are single passes without a shuffle, over whole texts.
 
 Defined results: null and empty texts have no tokens and decode to nothing; a text of any length is
 encoded whole; repeated rows encode alike; an empty table gives none; columns named like an output
@@ -18,8 +19,11 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame, types as T
 from grainmill.llm._common import with_arrow
 
 _MASK = (1 << 64) - 1
+#: Characters, pre-tokens or ids that are in work at a time.
+PART = 1 << 22
 
 
 class PerfectHash:
@@ -79,27 +85,39 @@ class PerfectHash:
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of a pre-token, by repeated merging of the adjacent pair with the lowest rank.
 
-    A heap entry is one integer: rank, then where the pair starts, then where it ends.
+    A heap entry is one integer, the pair's rank and where it starts; it is stale unless that place still has it.
     """
     n = len(piece)
-    width = n.bit_length()
+    width = 12 if n < 1 << 12 else n.bit_length()
     low = (1 << width) - 1
-    end = list(range(1, n + 1))  # where the token that starts here ends; 0 once it is merged away
+    end = list(range(1, n + 1))  # where the token that starts here ends
     before = list(range(-1, n))  # where the token to the left starts
     rank = ranks.get
-    heap = [(r << width | i) << width | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    now = [-1 if (r := rank(piece[i : i + 2])) is None else r << width | i for i in range(n - 1)]  # the entry that holds for each place, or -1
+    now.append(-1)
+    heap = [x for x in now if x >= 0]
     heapify(heap)
     while heap:
         x = heappop(heap)
-        e, i = x & low, x >> width & low
-        j = end[i]
-        if not j or j >= e or end[j] != e:  # one of the two has changed since
+        i = x & low
+        if now[i] != x:
             continue
-        end[i], end[j], before[e] = e, 0, i
-        if e < n and (r := rank(piece[i : (f := end[e])])) is not None:
-            heappush(heap, (r << width | i) << width | f)
-        if i and (r := rank(piece[(p := before[i]) : e])) is not None:
-            heappush(heap, (r << width | p) << width | e)
+        j = end[i]
+        e = end[i] = end[j]
+        now[j] = -1
+        before[e] = i
+        if e < n and (r := rank(piece[i : end[e]])) is not None:
+            now[i] = r = r << width | i
+            heappush(heap, r)
+        else:
+            now[i] = -1
+        if i:
+            p = before[i]
+            if (r := rank(piece[p:e])) is not None:
+                now[p] = r = r << width | p
+                heappush(heap, r)
+            else:
+                now[p] = -1
     out, i = [], 0
     while i < n:
         e = end[i]
@@ -108,26 +126,43 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _latin(category: str) -> str:
+    """The Latin letters or numbers below U+0250, as ranges of a character class."""
+    own = [c for c in range(0x250) if unicodedata.category(chr(c))[0] == category]
+    runs = [c for c in own if c - 1 not in own], [c for c in own if c + 1 not in own]
+    return "".join(f"\\u{i:04x}-\\u{j:04x}" for i, j in zip(*runs, strict=True))
+
+
 def _splitter(pattern: str):
-    """The pattern's findall; texts in ASCII go through the faster standard module, with \\p{L} and \\p{N} spelt out."""
-    full = regex.compile(pattern).findall
-    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-    if "\\p" in plain:
-        return full
-    ascii_only = re.compile(plain, re.ASCII).findall
-    return lambda text: ascii_only(text) if text.isascii() else full(text)
+    """A function from text to the compiled pattern for it; texts in ASCII or Latin letters get the faster standard module, with \\p{L}, \\p{N} and \\s spelt out."""
+    full = regex.compile(pattern)
+    spaces = r"\t-\r \x85\xa0"  # all white space below U+0250
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{_latin('L')}{_latin('N')}]").replace(r"\p{L}", f"[{_latin('L')}]").replace(r"\p{N}", f"[{_latin('N')}]").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
+    if re.search(r"\\[pPdDwWbB]|\(\?[a-zA-Z]", plain):
+        return lambda text: full
+    latin, other = re.compile(plain), re.compile(r"[^\x00-\u024f\u2010-\u2027]").search
+    return lambda text: latin if text.isascii() or not other(text) else full
+
+
+def _joined(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The large-binary values of each range between bounds, put together: the same bytes under fewer offsets."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset :][bounds] if len(values) else np.zeros(len(bounds), np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(at), data if data is not None else pa.py_buffer(b"")])
 
 
 class Codec:
     """Encoder and decoder for one rank file and one pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 50_000):
+    def __init__(self, path: str, pattern: str, remember: int = 300_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = list(self.ranks)
         self.ids = list(self.ranks.values())
         self.whole = PerfectHash(self.tokens)
-        self.bytes_of = dict(zip(self.ids, self.tokens, strict=True))
+        self.table = pa.array(self.tokens, pa.large_binary())
+        self.slot_of = np.full(max(self.ids, default=-1) + 1, -1, np.int64)
+        self.slot_of[self.ids] = np.arange(len(self.ids))
         self.pattern = pattern
         self.split = _splitter(pattern)
         self.remember = remember
@@ -156,20 +191,78 @@ class Codec:
             self.young[piece] = got
         return got
 
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """The text's pre-tokens; a long text's in parts."""
+        if len(text) <= PART:
+            yield self.split(text).findall(text)
+            return
+        found = (m[0] for m in self.split(text).finditer(text))
+        while part := list(islice(found, PART)):
+            yield part
+
+    def _encode_part(self, pieces: list[str], bounds: list[int]) -> pa.Array:
+        """Packed ids of each range of pieces between bounds."""
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        first = np.zeros(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        known, new = self.young.get, self._new
+        packed = pa.array([known(p) or new(p) for p in map(pieces.__getitem__, first.tolist())], pa.large_binary())
+        return _joined(packed.take(coded.indices), np.asarray(bounds))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Per text its ids, as little-endian unsigned 32-bit integers."""
+        pieces, bounds, chars = [], [0], 0
+        for text in texts:
+            if text and len(text) > PART:
+                yield from self._encode_part(pieces, bounds).to_pylist()
+                pieces, bounds, chars = [], [0], 0
+                yield b"".join(self._encode_part(p, [0, len(p)])[0].as_py() for p in self._pieces(text))
+                continue
+            if text:
+                pieces += next(self._pieces(text))
+                chars += len(text)
+            bounds.append(len(pieces))
+            if chars >= PART:
+                yield from self._encode_part(pieces, bounds).to_pylist()
+                pieces, bounds, chars = [], [0], 0
+        yield from self._encode_part(pieces, bounds).to_pylist()
+
     def encode_packed(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        known, new, out = self.young.get, self._new, []
-        for p in self.split(text):
-            out.append(known(p) or new(p))
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode_packed(self, packed: bytes | None) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
+        """The bytes that packed ids stand for."""
+        ids = np.frombuffer(packed or b"", "<u4")
+        return b"".join(self._decode_part(ids[i : i + PART], [0, len(ids[i : i + PART])])[0].as_py() for i in range(0, len(ids), PART))
+
+    def _decode_part(self, ids: np.ndarray, bounds: list[int]) -> pa.Array:
+        if len(ids):
+            at = self.slot_of[np.minimum(ids, len(self.slot_of) - 1)]
+            if ids.max() >= len(self.slot_of) or at.min() < 0:
+                raise KeyError("an id that the vocabulary lacks")
+            return _joined(self.table.take(pa.array(at)), np.asarray(bounds))
+        return _joined(self.table.slice(0, 0), np.zeros(len(bounds), np.int64))
+
+    def decode_all(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """Per text the bytes that its packed ids stand for."""
+        held, bounds = [], [0]
+        for packed in texts:
+            n = len(packed or b"") // 4
+            if n > PART:
+                yield from self._decode_part(np.frombuffer(b"".join(held), "<u4"), bounds).to_pylist()
+                held, bounds = [], [0]
+                yield self.decode_packed(packed)
+                continue
+            held.append(packed or b"")
+            bounds.append(bounds[-1] + n)
+            if bounds[-1] >= PART:
+                yield from self._decode_part(np.frombuffer(b"".join(held), "<u4"), bounds).to_pylist()
+                held, bounds = [], [0]
+        yield from self._decode_part(np.frombuffer(b"".join(held), "<u4"), bounds).to_pylist()
 
 
 @lru_cache(maxsize=4)
@@ -183,8 +276,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     sent = docs.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     def add(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        c = sent.value
-        packed = [c.encode_packed(t.as_py()) for t in b.column(b.schema.get_field_index(text))]
+        packed = list(sent.value.encode_all(t.as_py() for t in b.column(b.schema.get_field_index(text))))
         return {"ids": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64())}
 
     return with_arrow(docs, add, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, keep=keep)
@@ -195,7 +287,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
     sent = encoded.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     def add(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        c = sent.value
-        return {out: pa.array([c.decode_packed(x.as_py()) for x in b.column(b.schema.get_field_index(ids))], pa.binary())}
+        return {out: pa.array(list(sent.value.decode_all(x.as_py() for x in b.column(b.schema.get_field_index(ids)))), pa.binary())}
 
     return with_arrow(encoded, add, {out: T.BinaryType()}, keep=keep)
