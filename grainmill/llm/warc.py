@@ -3,20 +3,25 @@
 An ARC file begins with a version block (`filedesc://`), whose version line says how the header
 line of each record is laid out: five fields in version 1, ten in version 2. Each record is read by
 its declared length, never by looking for the next header. For every record the converter
-synthesises what WARC wants and ARC lacks: a record identifier (a name-based UUID of file, position
-and url), an ISO timestamp, a type, and block and payload digests. Of records with equal payloads of
-`min_revisit` bytes or more, one stays a response and the others become `revisit` records.
+synthesises what WARC wants and ARC lacks: a record identifier (a name-based UUID of the file's name
+below the converted folder, position and url), an ISO timestamp, a type, and block and payload digests. Of
+records with equal payloads of `min_revisit` bytes or more, one stays a response and the others become
+`revisit` records.
 
 Files go through Spark's binary-file reader and text writer (record bytes as rows, the separator of
 the format as line separator), so any store that Spark reaches will do. A file is one gzip stream, as
 large as one input partition; it is read record by record, so memory is bounded by the largest
-record and the compressed file. Payloads are shuffled once, on their digest, where equal
-payloads meet the one that stays; that side is an aggregate, and hot digests are split by AQE.
+record and the compressed file. A first pass yields digests and no blocks; from them come, per file, the
+positions of its revisits. A second pass meets that list (broadcast while its rows are at most
+`max_broadcast`, else joined by file) and writes each file's records where they are read: blocks are
+never shuffled. Hot digests are an aggregate with map-side combine, and their revisits a join that AQE splits.
 
 Defined results: a null payload is an empty one; a null url becomes `urn:absent`; white space in
 urls is percent-encoded; a null key is left out and read back as null; records that tie for the
-largest key are all responses; broken header lines are skipped up to the next one that parses; a
-truncated last record is kept as far as it goes; an empty table gives files without records.
+largest key are all responses; repeated rows are a record each; payloads of any length are kept whole; broken
+header lines are skipped up to the next one that parses; a truncated last record is kept as far as it
+goes; an empty table gives files without records; columns other than key, url and payload have no
+place in an archive and are not returned.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm._common import delete_path, fresh_path, map_arrow, written
+from grainmill.llm._common import delete_path, forget, fresh_path, map_arrow, written
 
 #: Fixed values of the formats.
 ARC_FIELDS = {
@@ -46,7 +51,7 @@ ARC_TITLE = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 KEY_HEADER = "X-Record-Key"
 
-RECORD_SCHEMA = "file string, position bigint, url string, ip string, date string, content_type string, block binary, payload_bytes bigint, payload_sha1 string, key bigint"
+RECORD_SCHEMA = "file string, position bigint, url string, date string, payload_bytes bigint, payload_sha1 string, key bigint"
 WARC_SCHEMA = "record_id string, record_type string, url string, date string, refers_to string, payload_bytes bigint, payload_sha1 string, key bigint"
 _BATCH = 8 << 20
 
@@ -170,7 +175,7 @@ _LINE = pa.schema([("value", pa.binary())])
 
 
 def _save(records: DataFrame, path: str, separator: str) -> None:
-    records.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "gzip").text(path)
+    records.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, url: str = "url", payload: str = "html", key: str = "page_id", version: int = 1, date: str = "20240101000000") -> None:
@@ -190,12 +195,18 @@ def write_arc(pages: DataFrame, path: str, url: str = "url", payload: str = "htm
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """(path, name, content) of the files below path; name is what follows it, or the last part of a single file's path."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    full = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.when(F.col("path").startswith(full), F.substring("path", len(full) + 1, 1 << 20)).otherwise(F.substring_index("path", "/", -1))
+    return files.select("path", name.alias("name"), "content")
 
 
 def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files below path, with the size and SHA-1 of their payloads."""
-    schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("key", pa.int64())])
+    """The records of all ARC files below path, with the size and SHA-1 of their payloads; `file` is the name below path."""
+    schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("key", pa.int64())])
 
     def run(batches):
         def rows():
@@ -203,21 +214,29 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
                 for name, content in zip(b.column(0), b.column(1), strict=True):
                     for n, r in enumerate(read_arc(content.as_py())):
                         headers, payload = _http_parts(r["block"])
-                        yield name.as_py(), n, r["url"], r["ip"], r["date"], r["content_type"], r["block"], len(payload), hashlib.sha1(payload).hexdigest(), _key(headers)
+                        yield name.as_py(), n, r["url"], r["date"], len(payload), hashlib.sha1(payload).hexdigest(), _key(headers)
 
-        yield from _batched(rows(), schema, lambda r: len(r[6]))
+        yield from _batched(rows(), schema)
+
+    return map_arrow(_files(spark, path).select("name", "content"), run, RECORD_SCHEMA)
 
-    return map_arrow(_files(spark, path), run, RECORD_SCHEMA)
 
+def revisits(records: DataFrame, min_revisit: int) -> DataFrame:
+    """(file, position, kept): the records whose payload another one with a larger key has too, and that one (file, position, url, date)."""
+    large = records.where(F.col("payload_bytes") >= min_revisit)
+    best = F.max(F.struct("key", "file", "position", "url", "date")).alias("kept")
+    kept = large.groupBy("payload_sha1", "payload_bytes").agg(F.count("*").alias("n"), best).where("n > 1").drop("n")
+    same = large.select("payload_sha1", "payload_bytes", "file", "position", "key").join(kept, ["payload_sha1", "payload_bytes"])
+    return same.where("not (key <=> kept.key)").select("file", "position", F.col("kept").dropFields("key").alias("kept"))
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = 1000) -> None:
-    """Writes the records below arc_path as gzipped WARC files below warc_path."""
-    narrow = arc_records(spark, arc_path).where(F.col("payload_bytes") >= min_revisit)
-    groups = narrow.groupBy("payload_sha1", "payload_bytes").agg(F.count("*").alias("n"), F.max(F.struct("key", F.struct("file", "position", "url").alias("at"), "date")).alias("kept"))
-    kept = written(groups.where("n > 1").select(F.col("payload_sha1").alias("sha1"), F.col("payload_bytes").alias("size"), "kept.key", "kept.at", "kept.date"), "warc-kept")
-    kept = kept.select("sha1", "size", F.col("key").alias("kept_key"), F.col("at.file").alias("kept_file"), F.col("at.position").alias("kept_position"), F.col("at.url").alias("kept_url"), F.col("date").alias("kept_date"))
-    r = arc_records(spark, arc_path)
-    met = r.join(kept.hint("shuffle_hash"), (r["payload_sha1"] == kept["sha1"]) & (r["payload_bytes"] == kept["size"]), "left").drop("sha1", "size")
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = 1000, max_broadcast: int = 100_000) -> None:
+    """Writes the records below arc_path as gzipped WARC files below warc_path, in the order of each file."""
+    narrow = written(arc_records(spark, arc_path), "arc-records")
+    again = written(revisits(narrow, min_revisit), "arc-revisits")
+    few = again.count() <= max_broadcast
+    lists = again.groupBy(F.col("file").alias("name")).agg(F.collect_list(F.struct("position", "kept")).alias("again"))
+    met = _files(spark, arc_path).select("name", "content").join(F.broadcast(lists) if few else lists.hint("shuffle_hash"), "name", "left")
 
     def run(batches):
         def lines():
@@ -225,25 +244,29 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int
             head = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'grainmill')}>"), ("Content-Type", "application/warc-fields")]
             yield (warc_record("warcinfo", head, info),)
             for b in batches:
-                for x in b.to_pylist():
-                    yield (_as_warc(x),)
+                for name, content, again in zip(*(b.column(i) for i in range(3)), strict=True):
+                    kept = {x["position"]: x["kept"] for x in again.as_py() or ()}
+                    for n, r in enumerate(read_arc(content.as_py())):
+                        yield (_as_warc(r, name.as_py(), n, kept.get(n)),)
 
         yield from _batched(lines(), _LINE, lambda r: len(r[0]))
 
-    _save(map_arrow(met, run, "value binary"), warc_path, "\r\n\r\n")
+    _save(map_arrow(met.select("name", "content", "again"), run, "value binary"), warc_path, "\r\n\r\n")
+    forget(narrow)
+    forget(again)
 
 
-def _as_warc(x: dict) -> bytes:
-    block = x["block"]
-    own = record_id(x["file"], x["position"], x["url"])
-    revisit = x["kept_file"] is not None and x["key"] != x["kept_key"]
+def _as_warc(r: dict, file: str, position: int, kept: dict | None) -> bytes:
+    """The record of an ARC file as a WARC record; a revisit of kept, if that is given."""
+    block = r["block"]
+    payload = _http_parts(block)[1]
     is_http = block.startswith(b"HTTP/")
-    headers = [("WARC-Target-URI", x["url"]), ("WARC-Date", iso_date(x["date"])), ("WARC-Record-ID", own), ("WARC-IP-Address", x["ip"]), ("WARC-Payload-Digest", sha1_label(x["payload_sha1"]))]
-    if revisit:
-        block = block[: len(block) - x["payload_bytes"]]
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(x["kept_file"], x["kept_position"], x["kept_url"])), ("WARC-Refers-To-Target-URI", x["kept_url"]), ("WARC-Refers-To-Date", iso_date(x["kept_date"]))]
-    headers += [("WARC-Block-Digest", sha1_label(hashlib.sha1(block).hexdigest())), ("Content-Type", "application/http; msgtype=response" if is_http else x["content_type"])]
-    return warc_record("revisit" if revisit else "response" if is_http else "resource", headers, block)
+    headers = [("WARC-Target-URI", r["url"]), ("WARC-Date", iso_date(r["date"])), ("WARC-Record-ID", record_id(file, position, r["url"])), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", sha1_label(hashlib.sha1(payload).hexdigest()))]
+    if kept:
+        block = block[: len(block) - len(payload)]
+        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(kept["file"], kept["position"], kept["url"])), ("WARC-Refers-To-Target-URI", kept["url"]), ("WARC-Refers-To-Date", iso_date(kept["date"]))]
+    headers += [("WARC-Block-Digest", sha1_label(hashlib.sha1(block).hexdigest())), ("Content-Type", "application/http; msgtype=response" if is_http else r["content_type"])]
+    return warc_record("revisit" if kept else "response" if is_http else "resource", headers, block)
 
 
 def warc_records(spark: SparkSession, path: str) -> DataFrame:
@@ -253,7 +276,7 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         def rows():
             for b in batches:
-                for content in b.column(1):
+                for content in b.column(0):
                     for h, block in read_warc(content.as_py()):
                         kind = h.get("warc-type")
                         if kind not in ("response", "resource", "revisit"):
@@ -268,7 +291,7 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
 
         yield from _batched(rows(), schema)
 
-    return map_arrow(_files(spark, path), run, WARC_SCHEMA)
+    return map_arrow(_files(spark, path).select("content"), run, WARC_SCHEMA)
 
 
 def round_trip(pages: DataFrame, url: str = "url", payload: str = "html", key: str = "page_id", min_revisit: int = 1000) -> DataFrame:
@@ -279,6 +302,7 @@ def round_trip(pages: DataFrame, url: str = "url", payload: str = "html", key: s
     convert(spark, arc, warc, min_revisit)
     delete_path(spark, arc)
     back = written(warc_records(spark, warc), "warc-records")
+    delete_path(spark, warc)
     target = back.where("record_type != 'revisit'").select(F.col("record_id").alias("target"), F.col("key").alias("refers_to_key"))
     target = target.join(back.where("record_type = 'revisit'").select(F.col("refers_to").alias("target")).distinct(), "target", "left_semi")
     return back.join(target, F.col("refers_to") == F.col("target"), "left").drop("target")

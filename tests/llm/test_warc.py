@@ -85,3 +85,32 @@ def test_files_and_other_versions(spark, tmp_path):
             assert h["content-length"] == str(len(block)) and h["warc-type"] in ("warcinfo", "response", "revisit")
             if "warc-block-digest" in h:
                 assert h["warc-block-digest"] == w.sha1_label(hashlib.sha1(block).hexdigest())
+
+
+def test_the_same_file_gives_the_same_bytes(spark, tmp_path):
+    content = arc(1, [(f"http://h/{i}", b"same" * 300 if i % 3 else b"other", i) for i in range(9)])
+    outs = []
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "x.arc").write_bytes(content)
+        w.convert(spark, str(tmp_path / k), str(tmp_path / f"out-{k}"))
+        outs.append([gzip.decompress(f.read_bytes()) for f in (tmp_path / f"out-{k}").glob("part*")])
+    assert outs[0] == outs[1] and b"WARC-Type: revisit" in outs[0][0]
+
+
+def test_joining_by_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.arc").write_bytes(arc(1, [(f"http://h/{k}/{i}", b"same" * 300, 10 * k + i) for i in range(4)]))
+    w.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), max_broadcast=0)
+    got = w.warc_records(spark, str(tmp_path / "out")).collect()
+    last = next(r.record_id for r in got if r.key == 23)
+    assert len(got) == 12 and {r.key for r in got if r.record_type == "response"} == {23}
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {last}
+
+
+def test_a_very_long_payload(spark):
+    rows = [(1, "http://h/1", "long wörds " * 1_500_000), (2, "http://h/2", "long wörds " * 1_500_000)]
+    got = {r.key: r for r in w.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].refers_to_key == 2 and got[1].payload_bytes == got[2].payload_bytes == 18_000_000
+    assert got[2].payload_sha1 == hashlib.sha1(rows[0][2].encode()).hexdigest()
