@@ -27,7 +27,7 @@ def text(v) -> str:
 def test_query(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     rows = df.collect()
-    assert len(rows) == duck.sql(f"SELECT count(*) FROM {KEYS.get(name, 'documents')}").fetchone()[0]
+    assert len(rows) == duck.sql(f"SELECT count(*) FROM {KEYS.get(name, 'documents')}").fetchall()[0][0]
     if name in queries.ORACLES:
         want = duck.sql(queries.ORACLES[name])
         cols = sorted(df.columns)
