@@ -36,7 +36,7 @@ from grainmill.llm._common import with_arrow
 
 _MASK = (1 << 64) - 1
 #: Characters, pre-tokens or ids that are in work at a time.
-PART = 1 << 22
+PART = 1 << 21
 
 
 class PerfectHash:
@@ -154,7 +154,7 @@ def _joined(values: pa.Array, bounds: np.ndarray) -> pa.Array:
 class Codec:
     """Encoder and decoder for one rank file and one pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 300_000):
+    def __init__(self, path: str, pattern: str, remember: int = 200_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = list(self.ranks)
