@@ -1,22 +1,27 @@
 """Toxicity scoring with two class-conditional Kneser-Ney language models.
 
-Two interpolated Kneser-Ney bigram models are estimated, one on toxic and one on ordinary
-labelled texts: bigrams back off to words, words to their stems (first letters), and both classes'
-stems to the *same* lowest order, the shares that words and stems have in the whole corpus. What
-neither class has seen often therefore costs both models nearly the same and cannot tip the
-comparison, and a rare form of a frequent stem counts as its stem. A document's evidence is the difference of the two
-log-likelihoods, normalised for length; a two-feature logistic curve, fitted on labelled
-documents that the language models have not seen, maps it to a score in 0..1.
+Two interpolated Kneser-Ney bigram models are estimated, one on toxic and one on ordinary labelled
+texts. Bigrams count occurrences; below them words count their different left neighbours (so copies do not
+weigh), each order with the discount n1 / (n1 + 2 n2) of its own counts. Words back off to one
+distribution that both classes share: their shares in all texts of the corpus, mixed with a uniform one
+(`uniform`). Three things keep rare expressions from tipping the comparison: a backoff gets the same mass
+in both classes, the larger of what their discounts free, so that what neither class has seen costs both the same; a
+context that one class has not seen backs off altogether; bigrams that both classes together have seen fewer than
+`min_bigram` times are left to the backoff.
+
+A document's evidence is (log p_toxic - log p_ordinary) / n of the most toxic run of `window` words, n being
+the run's words (a shorter text is one run). A logistic curve of this number alone, fitted on labelled
+documents that the models have not seen, gives the score. The same comparison over whole texts cannot
+tell a long text with a few toxic words from an ordinary one; README has the figures.
 
 Bounds and scale
-* The class models are a classifier: they are fitted on a bounded sample of labelled rows
-  (`max_docs_per_class`, `max_chars_per_class`, chosen by a hash of the text). A text gives at most
-  its first 1/TEXT_PARTS of the characters, so that none ends the sample; shorter ones are whole.
-  What is sent to the executors is bounded by these parameters.
-* The corpus share of a word comes from all texts of the corpus: the words and stems of the
-  sample, which alone need one, are counted exactly with one partial table per task; no
-  document list reaches the driver.
-* Scoring is one pass without a shuffle, vectorised over Arrow batches.
+* The models are a classifier: they are fitted on a bounded sample of labelled rows (`max_docs_per_class`,
+  `max_chars_per_class`, chosen by a hash of the text). Of a text longer than `max_chars_per_text` the
+  sample has that many characters, so that none ends the sample. What is sent to the executors is
+  bounded by these parameters.
+* The corpus share of a word comes from all texts of the corpus: the words of the sample, which
+  alone need one, are counted exactly with one partial table per task; no document list reaches the driver.
+* Scoring is one pass without a shuffle over whole texts, vectorised over Arrow batches.
 
 Defined results: a null or empty text has no words and gets the score of "no evidence"; texts
 of any length are scored whole; repeated rows get equal scores; rows with a null or unknown
@@ -28,9 +33,9 @@ and a column named like an output is replaced.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,187 +44,140 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from grainmill.llm._common import map_arrow, with_arrow
 
 _WORD = re.compile(r"\w+")
-#: Letters of a word that make its stem.
-STEM = 4
-#: A text's part of max_chars_per_class is at most one in this many.
-TEXT_PARTS = 40
 
 
 @dataclass(frozen=True)
 class KneserNeyConfig:
-    """Documented bounds of the fit; everything else follows the data. n_buckets is the share, inverted, of a word that the sample lacks."""
+    """Documented bounds of the fit, and the models' parameters."""
 
     max_docs_per_class: int = 4000
     max_chars_per_class: int = 6_000_000
-    calibration_share: float = 0.4
-    n_buckets: int = 1 << 18
-    base_weight: float = 1.0
-    discount: float = 5.0
-    tail: float = 1.0
+    max_chars_per_text: int = 150_000
+    calibration_share: float = 0.25
+    uniform: float = 0.9
+    min_bigram: int = 20
+    window: int = 2
+    toxic_weight: float = 1 / 3
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def stem(word: str) -> str:
-    """A word's first letters, marked so that no word is mistaken for them."""
-    return "\0" + word[:STEM]
-
-
-def bucket_of(word: str, n_buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_buckets
-
-
-def _discounted(counts: np.ndarray, discount: float) -> tuple[np.ndarray, float]:
-    """What is left of each count, as a share of all, and the share that the discounts set free."""
-    total = max(counts.sum(), 1.0)
-    kept = np.maximum(counts - discount, 0) / total
-    return kept, max(1 - kept.sum(), 1e-6)
+def discount_of(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2), from the numbers of counts that are 1 and 2; one half where nothing is seen once."""
+    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
+    return n1 / (n1 + 2 * n2) if n1 else 0.5
 
 
 class _ClassModel:
-    """Kneser-Ney counts of one class over the shared vocabulary; id 0 is any unknown word, and the start.
-
-    Both orders count *types*: a word by its different left neighbours, a bigram by the different
-    words before it. A passage that copies repeat a thousand times counts once, an expression
-    that turns up in ever new surroundings counts fully.
-    """
-
-    def __init__(self, ids: list[np.ndarray], size: int, discount: float):
-        shift = lambda x, k: np.concatenate((np.zeros(min(k, len(x)), np.int64), x[: max(len(x) - k, 0)]))
-        join = lambda k: np.concatenate([shift(x, k) for x in ids]) if ids else np.zeros(0, np.int64)
-        word, left, before = join(0), join(1), join(2)
-        pair = left * size + word
-        self.pairs, which = np.unique(pair, return_inverse=True)
-        self.unigram = np.bincount(self.pairs % size, minlength=size).astype(np.float64)
-        trigram = np.unique(which.astype(np.int64) * size + before)
-        self.n = np.bincount(trigram // size, minlength=len(self.pairs)).astype(np.float64)
-        self.keys, self.size = self.pairs, size
-        ctx = self.keys // size
-        self.context = np.bincount(ctx, weights=self.n, minlength=size)
-        self.discount = discount
-
-    def backoff(self) -> np.ndarray:
-        """Per left context, the mass that discounting frees for the lower order; all of it where nothing was seen."""
-        kept = np.bincount(self.keys // self.size, weights=np.maximum(self.n - self.discount, 0), minlength=self.size)
-        return np.where(self.context > 0, np.maximum(1 - kept / np.maximum(self.context, 1), 1e-6), 1.0)
+    """Counts of one class over the shared vocabulary; id 0 is any unknown word, and the start."""
+
+    def __init__(self, docs: list[np.ndarray], size: int):
+        some = [x for x in docs if len(x)]
+        right = np.concatenate(some) if some else np.zeros(0, np.int64)
+        left = np.concatenate([np.concatenate(([0], x[:-1])) for x in some]) if some else right
+        self.pairs, n = np.unique(left * size + right, return_counts=True)
+        self.n = n.astype(np.float64)
+        self.context = np.bincount(left, minlength=size).astype(np.float64)
+        self.neighbours = np.bincount(self.pairs % size, minlength=size).astype(np.float64)
+        self.pair_kept = np.maximum(self.n - discount_of(self.n), 0)
+        self.word_kept = np.maximum(self.neighbours - discount_of(self.neighbours), 0)
+
+    def counts_of(self, pairs: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """values (one for each of self.pairs) of the given pairs, 0 for others."""
+        if not len(self.pairs):
+            return np.zeros(len(pairs))
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, values[at], 0)
+
+
+def _mixed(kept: list[np.ndarray], totals: list, group: np.ndarray | None, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each class's kept counts as shares, scaled so that both leave the same mass to the backoff; that mass, per group."""
+    group = np.zeros(len(kept[0]), np.int64) if group is None else group
+    sums = [np.bincount(group, weights=k, minlength=size) for k in kept]
+    freed = np.maximum.reduce([1 - s / np.maximum(t, 1) for s, t in zip(sums, totals, strict=True)])
+    return [(1 - freed)[group] * k / np.maximum(s, 1e-300)[group] for k, s in zip(kept, sums, strict=True)], freed
 
 
 class ToxicityModel:
-    """Log-likelihood ratios for scoring: per word, per left context, and per bigram met in training."""
+    """Log-likelihood ratios for scoring: per word, and per bigram that both classes know; and the curve."""
 
-    def __init__(self, vocab, word_llr, ctx_llr, keys, extra, config):
-        self.vocab, self.word_llr, self.ctx_llr, self.keys, self.extra, self.config = vocab, word_llr, ctx_llr, keys, extra, config
-        self.weights = np.zeros(4)
+    def __init__(self, vocab: dict[str, int], word_llr: np.ndarray, pairs: np.ndarray, pair_llr: np.ndarray, config: KneserNeyConfig):
+        self.vocab, self.word_llr, self.pairs, self.pair_llr, self.config = vocab, word_llr, pairs, pair_llr, config
+        self.bias, self.slope = 0.0, 1.0
 
     @classmethod
-    def fit(cls, toxic: list[list[str]], ordinary: list[list[str]], base: np.ndarray | dict[str, float], config: KneserNeyConfig):
-        """base: the corpus share of each word and stem, or a table of shares by their hashes."""
-        vocab: dict[str, int] = {}
-        for doc in (*toxic, *ordinary):
-            for w in doc:
-                vocab.setdefault(w, len(vocab) + 1)
+    def fit(cls, toxic: list[list[str]], ordinary: list[list[str]], share: dict[str, float], config: KneserNeyConfig = KneserNeyConfig()) -> ToxicityModel:
+        """share: of the words of toxic and ordinary, in the whole corpus."""
+        vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for d in (*toxic, *ordinary) for w in d))}
         size = len(vocab) + 1
-        encode = lambda docs: [np.fromiter((vocab[w] for w in d), np.int64, len(d)) for d in docs if d]
-        models = [_ClassModel(encode(docs), size, config.discount) for docs in (toxic, ordinary)]
-        pooled = np.unique(np.concatenate([m.keys for m in models]))
-        stems: dict[str, int] = {}
-        stem_of = np.zeros(size, np.int64)
-        for w, i in vocab.items():
-            stem_of[i] = stems.setdefault(stem(w), len(stems) + 1)
-        n_stems = len(stems) + 1
-        own = base.get if isinstance(base, dict) else lambda x, _: base[bucket_of(x, len(base))]
-        share = lambda names, n: np.concatenate(([1.0 / config.n_buckets], np.maximum(np.fromiter((own(x, 0.0) for x in names), np.float64, n), 1e-12)))
-        word_share, stem_share = share(vocab, len(vocab)), share(stems, len(stems))
-        continuation = np.bincount(pooled % size, minlength=size).astype(np.float64)
-        mixed = config.base_weight * word_share + (1 - config.base_weight) * continuation / max(continuation.sum(), 1.0)
-        within = np.minimum(mixed / np.maximum(stem_share[stem_of], 1e-12), 1.0)
-        p_stem, p_word, freed = [], [], []
-        for m in models:
-            kept, rest = _discounted(m.unigram, config.discount)
-            k2, r2 = _discounted(np.bincount(stem_of, weights=m.unigram, minlength=n_stems), config.discount)
-            p_stem.append(k2 + r2 * stem_share)
-            p_word.append(kept + rest * p_stem[-1][stem_of] * within)
-            freed.append(rest)
-        p_t, p_o = p_word
-        stem_llr = np.log(freed[0] * p_stem[0]) - np.log(freed[1] * p_stem[1])
-        word_llr = np.log(p_t) - np.log(p_o)
-        word_llr[0] = stem_llr[0]
-        b_t, b_o = (m.backoff() for m in models)
-        ctx_llr = np.log(b_t) - np.log(b_o)
-        right, ctx = pooled % size, pooled // size
-        p2 = []
-        for m, p1, b in zip(models, (p_t, p_o), (b_t, b_o), strict=True):
-            at = np.searchsorted(m.keys, pooled)
-            at[at == len(m.keys)] = 0
-            n = np.where(m.keys[at] == pooled, m.n[at], 0) if len(m.keys) else np.zeros(len(pooled))
-            p2.append(np.maximum(n - m.discount, 0) / np.maximum(m.context[ctx], 1) + b[ctx] * p1[right])
-        extra = np.log(p2[0]) - np.log(p2[1]) - ctx_llr[ctx] - word_llr[right]
-        # What survives no discount scores exactly as its stem, and a stem of which nothing survives as an unknown one: neither needs an entry.
-        used = np.zeros(size, bool)
-        told = np.abs(extra) > 1e-9
-        used[right[told]] = used[ctx[told]] = True
-        used |= (np.abs(word_llr - stem_llr[stem_of]) > 1e-9) | (np.abs(ctx_llr) > 1e-9)
-        used[0] = True
-        new_id = np.cumsum(used) - 1
-        marked = np.flatnonzero(np.abs(stem_llr - stem_llr[0]) > 1e-9)
-        kept = int(used.sum()) + len(marked)
-        keys = new_id[ctx[told]] * kept + new_id[right[told]]
-        order = np.argsort(keys)
-        small = {w: int(new_id[i]) for w, i in vocab.items() if used[i]}
-        at = {int(s): int(used.sum()) + k for k, s in enumerate(marked)}
-        small |= {x: at[i] for x, i in stems.items() if i in at}
-        llr = np.concatenate((word_llr[used], stem_llr[marked]))
-        return cls(small, llr, np.concatenate((ctx_llr[used], np.zeros(len(marked)))), keys[order], extra[told][order], config)
-
-    def llr(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per document: the sum of log-likelihood ratios, the part of it beyond `tail` a word, and the number of words."""
-        lengths = np.fromiter((len(d) for d in docs), np.int64, len(docs))
-        get = self.vocab.get
-        ids = np.fromiter((i if (i := get(w)) is not None else get("\0" + w[:STEM], 0) for d in docs for w in d), np.int64, int(lengths.sum()))
-        total, strong = np.zeros(len(docs)), np.zeros(len(docs))
-        if len(ids):
-            starts = np.cumsum(lengths) - lengths
-            left = np.concatenate(([0], ids[:-1]))
-            left[starts[lengths > 0]] = 0
-            x = self.word_llr[ids].astype(np.float64) + self.ctx_llr[left]
-            if len(self.keys):
-                key = left * len(self.word_llr) + ids
-                at = np.searchsorted(self.keys, key)
-                at[at == len(self.keys)] = 0
-                x += np.where(self.keys[at] == key, self.extra[at], 0)
-            for out, part in ((total, x), (strong, np.maximum(x - self.config.tail, 0))):
-                sums = np.concatenate(([0.0], np.cumsum(part)))
-                out[:] = sums[starts + lengths] - sums[starts]
-        return total, strong, lengths
-
-    def features(self, docs: list[list[str]]) -> np.ndarray:
-        total, strong, n = self.llr(docs)
-        n1 = np.maximum(n, 1)
-        return np.stack([np.ones(len(n1)), total / n1, strong / n1, strong / np.sqrt(n1)], axis=1)
+        models = [_ClassModel([np.fromiter(map(vocab.__getitem__, d), np.int64, len(d)) for d in docs], size) for docs in (toxic, ordinary)]
+        known = np.fromiter((share.get(w, 0.0) for w in vocab), np.float64, size - 1)
+        base = (1 - config.uniform) * np.concatenate(([max(1 - known.sum(), 0)], known)) + config.uniform / size
+        own, freed = _mixed([m.word_kept for m in models], [np.array([m.neighbours.sum()]) for m in models], None, 1)
+        p_word = [k + freed[0] * base for k in own]
+        word_llr = np.log(p_word[0]) - np.log(p_word[1])
+
+        pairs = np.union1d(models[0].pairs, models[1].pairs)
+        pairs = pairs[sum(m.counts_of(pairs, m.n) for m in models) >= config.min_bigram]
+        ctx, right = pairs // size, pairs % size
+        own, freed = _mixed([m.counts_of(pairs, m.pair_kept) for m in models], [m.context for m in models], ctx, size)
+        p_pair = [k + freed[ctx] * p[right] for k, p in zip(own, p_word, strict=True)]
+        pair_llr = np.log(p_pair[0]) - np.log(p_pair[1])
+        told = freed[ctx] < 1  # elsewhere a pair says what its word says
+        return cls(vocab, word_llr, pairs[told], pair_llr[told], config)
+
+    def ratios(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log p_toxic - log p_ordinary of each word; starts: where documents begin."""
+        left = np.concatenate(([0], ids[:-1]))
+        left[starts] = 0
+        x = self.word_llr[ids]
+        if len(self.pairs):
+            key = left * len(self.word_llr) + ids
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            x = np.where(self.pairs[at] == key, self.pair_llr[at], x)
+        return x
+
+    def evidence(self, docs: list[list[str]]) -> np.ndarray:
+        """Per document the greatest mean of the ratios of `window` words in a row; 0 without words."""
+        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+        out, some = np.zeros(len(docs)), np.flatnonzero(lengths)
+        if not len(some):
+            return out
+        ids = np.concatenate([np.fromiter(map(self.vocab.get, docs[k], repeat(0)), np.int64, int(lengths[k])) for k in some])
+        n = lengths[some]
+        starts = np.cumsum(n) - n
+        total = np.concatenate(([0.0], np.cumsum(self.ratios(ids, starts))))
+        # A run begins at each word; those near a document's end begin earlier, to be whole.
+        first = np.repeat(starts, n)
+        last = np.minimum(np.arange(len(ids)) + self.config.window, np.repeat(starts + n, n))
+        begin = np.maximum(last - self.config.window, first)
+        out[some] = np.maximum.reduceat((total[last] - total[begin]) / (last - begin), starts)
+        return out
 
     def calibrate(self, toxic: list[list[str]], ordinary: list[list[str]]) -> None:
-        """Logistic regression by Newton steps with a light ridge; the classes weigh 1 to 3, whatever their sizes."""
-        x = np.concatenate([self.features(toxic), self.features(ordinary)])
+        """The curve of the evidence, by Newton steps with a light ridge; toxic documents weigh `toxic_weight` of all, whatever their number. It never falls."""
+        x = np.concatenate([self.evidence(toxic), self.evidence(ordinary)])
         y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
-        mean, std = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-9
-        z = x.copy()
-        z[:, 1:] = (x[:, 1:] - mean) / std
-        case = np.where(y == 1, 0.25 / max(len(toxic), 1), 0.75 / max(len(ordinary), 1)) * len(y)
-        w = np.zeros(4)
+        mean, std = x.mean(), x.std() + 1e-9
+        z = np.stack([np.ones(len(x)), (x - mean) / std], axis=1)
+        share = self.config.toxic_weight
+        case = np.where(y == 1, share / max(len(toxic), 1), (1 - share) / max(len(ordinary), 1)) * len(y)
+        w = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             g = z.T @ (case * (p - y)) + 0.05 * w
-            h = (z * (case * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + 0.05 * np.eye(4)
+            h = (z * (case * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + 0.05 * np.eye(2)
             step = np.linalg.solve(h, g)
             w -= step
             if np.abs(step).max() < 1e-9:
                 break
-        self.weights = np.array([w[0] - (w[1:] * mean / std).sum(), *(w[1:] / std)])
+        self.slope = max(w[1] / std, 0.0)
+        self.bias = w[0] - self.slope * mean
 
     def score(self, docs: list[list[str]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(docs) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.evidence(docs), -30, 30)))
 
 
 class _Constant:
@@ -233,7 +191,7 @@ class _Constant:
 
 
 def corpus_share(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, float]:
-    """How often each of these words and stems occurs in all texts, as a share of all words; one partial table per task, summed by Spark."""
+    """How often each of these words occurs in all texts, as a share of all words; one partial table per task, summed by Spark."""
     sent = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(vocabulary)})
 
     def count(batches):
@@ -244,9 +202,8 @@ def corpus_share(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
         def add() -> None:
             for w, n in seen.items():
                 table[-1] += n
-                for x in (w, stem(w)):
-                    if (i := at.get(x)) is not None:
-                        table[i] += n
+                if (i := at.get(w)) is not None:
+                    table[i] += n
             seen.clear()
 
         for b in batches:
@@ -258,43 +215,51 @@ def corpus_share(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
         hit = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(table[hit], pa.int64())], names=["word", "n"])
 
-    summed = map_arrow(docs.select(F.col(text).cast("string").alias("text")), count, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    summed = map_arrow(docs.select(F.col(f"`{text}`").cast("string").alias("text")), count, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary) + 1)
     out[summed.column("word").to_numpy()] = summed.column("n").to_numpy()
     sent.unpersist()
     return dict(zip(vocabulary, (out[:-1] / max(out[-1], 1)).tolist(), strict=True))
 
 
-def _sample(labelled: DataFrame, docs: DataFrame, text: str, config: KneserNeyConfig) -> list[str]:
-    """Distinct texts in the order of their hash, up to the documented bounds; one that does not fit is passed over. The texts themselves are never shuffled."""
-    part = max(config.max_chars_per_class // TEXT_PARTS, 1)
-    first = labelled.groupBy("h").agg(F.least(F.min("n"), F.lit(part)).alias("n")).orderBy("h").limit(config.max_docs_per_class).collect()
-    chosen, chars = [], 0
-    for r in first:
-        if chars + r["n"] <= config.max_chars_per_class:
-            chars += r["n"]
-            chosen.append((r["h"],))
+def _chosen(known: DataFrame, config: KneserNeyConfig) -> list[tuple[int, int]]:
+    """(hash, class) of the sample: each class's distinct texts in the order of their hash, up to the documented bounds; one that does not fit is passed over."""
+    out = []
+    for y in (1, 0):
+        part = F.least(F.min("n"), F.lit(config.max_chars_per_text)).alias("n")
+        chars = 0
+        for r in known.where(F.col("y") == y).groupBy("h").agg(part).orderBy("h").limit(config.max_docs_per_class).collect():
+            if chars + r["n"] <= config.max_chars_per_class:
+                chars += r["n"]
+                out.append((r["h"], y))
+    return out
+
+
+def _sample(known: DataFrame, docs: DataFrame, text: str, config: KneserNeyConfig) -> tuple[list[str], list[str]]:
+    """The texts that toxic and ordinary models learn from; known has the hash h, the length n and the class y of labelled texts. Texts outside the sample are never shuffled."""
+    chosen = _chosen(known, config)
     if not chosen:
-        return []
-    few = docs.sparkSession.createDataFrame(chosen, "h bigint")
-    found = docs.select(F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).join(F.broadcast(few), "h")
-    return [r["t"] for r in found.groupBy("h").agg(F.min(F.substring("t", 1, part)).alias("t")).orderBy("h").collect()]
+        return [], []
+    few = docs.sparkSession.createDataFrame(chosen, "h bigint, y int")
+    found = docs.select(F.substring(F.col(f"`{text}`").cast("string"), 1, config.max_chars_per_text).alias("t"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h")).join(F.broadcast(few), "h")
+    rows = found.groupBy("y", "h").agg(F.min("t").alias("t")).orderBy("y", "h").collect()
+    return [r["t"] for r in rows if r["y"]], [r["t"] for r in rows if not r["y"]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", learn_from: Column | None = None, config: KneserNeyConfig = KneserNeyConfig()) -> ToxicityModel | _Constant:
     """Learns from the labelled rows that satisfy learn_from (a condition on the id column); see the module's notes for the bounds."""
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.where(learn_from) if learn_from is not None else docs
-    rows = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.length(F.col(text).cast("string")).alias("n")).where("n > 0")
+    t = F.col(f"`{text}`").cast("string")
+    rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("h"), F.length(t).alias("n")).where("n > 0")
     known = rows.join(marked, "id").select("h", "n", "y")
-    texts = [_sample(known.where(F.col("y") == y), docs, text, config) for y in (1, 0)]
+    texts = _sample(known, docs, text, config)
     if not texts[0] or not texts[1]:
         share = known.agg(F.avg("y")).first()[0]
         return _Constant(float(share or 0.0))
     toxic, ordinary = ([words(t) for t in x] for x in texts)
     held = [int(len(x) * config.calibration_share) for x in (toxic, ordinary)]
-    learnt = dict.fromkeys(w for d in (*toxic[held[0] :], *ordinary[held[1] :]) for w in d)
-    vocabulary = list(learnt | dict.fromkeys(map(stem, learnt)))
+    vocabulary = list(dict.fromkeys(w for d in (*toxic[held[0] :], *ordinary[held[1] :]) for w in d))
     model = ToxicityModel.fit(toxic[held[0] :], ordinary[held[1] :], corpus_share(docs, vocabulary, text), config)
     model.calibrate(toxic[: held[0]] or toxic, ordinary[: held[1]] or ordinary)
     return model
