@@ -7,15 +7,37 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
-
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BATCH_ROWS = 2000
 
 
+class Placed:
+    """A frame whose columns are known by their places (c0, c1, ...), so that no name clashes with an operator's own or needs quoting."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*(f"c{i}" for i in range(len(self.names))))
+
+    def place(self, name: str) -> str:
+        """Where the column of this name is; one that differs in case only will do if there is no other."""
+        same = [i for i, c in enumerate(self.names) if c == name] or [i for i, c in enumerate(self.names) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name!r} among {self.names}")
+        return f"c{same[0]}"
+
+    def __call__(self, name: str) -> Column:
+        return F.col(self.place(name))
+
+    def others(self, outputs: Iterable[str]) -> list[Column]:
+        """The columns, under their names, that are not replaced by outputs."""
+        taken = {x.lower() for x in outputs}
+        return [F.col(f"c{i}").alias(c) for i, c in enumerate(self.names) if c.lower() not in taken]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from `spark.checkpoint.dir`; a temporary one only where that is unset on local[*]."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -72,13 +94,15 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataF
 
 def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], outputs: dict[str, T.DataType], keep: list[str] | None = None) -> DataFrame:
     """df with columns that fn computes batch by batch; a column of the same name is replaced. keep: the columns to pass on."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in outputs]
-    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(k, v) for k, v in outputs.items())])
+    names, taken = df.columns, {x.lower() for x in outputs}
+    keep = [i for i, c in enumerate(names) if c.lower() not in taken and (keep is None or c in keep)]
+    schema = T.StructType([*(T.StructField(f"c{i}", df.schema[i].dataType) for i in keep), *(T.StructField(f"out{k}", t) for k, t in enumerate(outputs.values()))])
+    inner = [f.name for f in schema]
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                new = fn(b)
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(new[k] for k in outputs)], names=[*keep, *outputs])
+                new = fn(pa.RecordBatch.from_arrays(b.columns, names=names))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *(new[k] for k in outputs)], names=inner)
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df.toDF(*(f"c{i}" for i in range(len(names)))), run, schema).toDF(*(names[i] for i in keep), *outputs)

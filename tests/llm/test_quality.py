@@ -65,3 +65,24 @@ def test_filters_on_results(spark):
     df = quality.judge(spark.createDataFrame([(PROSE,), ("x",), (None,)], "text string"))
     assert df.where("kept").count() == 1 and df.where("not kept").count() == 2
     assert quality.judge(df.select("text").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tail", ["", "\t" * 14, "'" * 13, '"' * 40 + " " * 30, ")\u201d]" * 9 + " \t"])
+def test_sentence_ends_have_tails_of_any_length(spark, tail):
+    text = "\n".join(x + tail for x in PROSE.splitlines())
+    got = quality.judge(spark.createDataFrame([(text,)], "text string")).first()
+    assert got.kept and got.kept_words >= 72
+
+
+def test_other_languages(spark):
+    text = "Startseite | Kontakt | Über uns\n" + PROSE + "\nÀ propos. Accueil. Contact.\nEste sitio: utilizamos cookies para todo lo que se hace.\nÜber uns und andere reden wir hier."
+    got = quality.judge(spark.createDataFrame([(text,)], "text string")).first()
+    assert got.cleaned == PROSE + "\nÜber uns und andere reden wir hier."
+    plain = quality.judge(spark.createDataFrame([(text,)], "text string"), menu_words={"x": ["zzz"]}, boilerplate={})
+    assert "utilizamos" in plain.first().cleaned
+
+
+def test_repeated_rows_and_clashing_outputs(spark):
+    df = spark.createDataFrame([(1, PROSE, "a", "b")] * 2, "doc_id bigint, text string, Kept string, n_words string")
+    got = quality.judge(df).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].kept is True and got[0].n_words == 72
