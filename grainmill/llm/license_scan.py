@@ -1,22 +1,27 @@
 """Licence scan by canonical digests; DataFrame functions only.
 
-A text and each of its lines are brought to a canonical form (lower case, copyright lines dropped,
+A text and each of its lines are brought to a canonical form (lower case, copyright notices dropped,
 equivalent spellings unified, everything but letters and digits folded to single spaces) and
 looked up by the SHA-256 of that form: the whole text among known licence texts, single lines among
-known licence notices. The table of digests is made from the texts of `KNOWN_TEXTS` and `NOTICES` or
-from a table of the caller's, by the same expressions; it is broadcast while it has at most
-`max_broadcast` entries, and joined by shuffle beyond that.
-
-Documents are told apart by (id, text hash). Defined results: null, empty and symbol-only texts
-have an empty canonical form, which matches nothing; whole texts are normalised, however long;
-repeated rows get equal results; an empty table gives none; extra columns pass through, columns named
-like an output are replaced.
+known licence notices. The table of digests is made from `KNOWN_TEXTS` and the notices that `NAMES` and `FRAMES`
+give, from texts and notices of the caller's (`known_table`), or from a folder of files (`texts_in`). It is broadcast
+while it has at most `max_broadcast` entries, and joined by shuffle beyond that. Every line is brought to its
+canonical form; only those as long as some known notice are digested.
+
+`KNOWN_TEXTS` has the short licences whole, and of Apache-2.0 its notice; long ones (the GPL family, MPL,
+Creative Commons) are known by their notice lines until a caller gives their texts.
+
+Documents are told apart by (id, text hash): rows equal in both are one result row with `n_rows`. Defined results:
+null, empty and symbol-only texts have an empty canonical form, which matches nothing; whole texts are
+normalised, however long; null ids are kept; an empty table gives none; columns other than id and text are
+not looked at and not returned.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from grainmill.llm._common import Placed
 from grainmill.llm._text import settled
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -54,12 +59,13 @@ NAMES = {
     **{f"CC-{k.upper().replace(' ', '-')}-4.0": [f"CC {k} 4.0", f"a Creative Commons {long} 4.0 International License", f"CC-{k.upper().replace(' ', '-')}-4.0"] for k, long in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()},
     "CC0-1.0": ["CC0 1.0", "CC0-1.0", "the CC0 1.0 Universal Public Domain Dedication"],
 }
-#: Notice lines; each has one of the words that `scan` looks for before it digests a line.
+#: Notice lines.
 FRAMES = ["Licensed under {}.", "This work is licensed under {}.", "This file is licensed under {}.", "This software is licensed under {}.", "Released under {}.", "Distributed under {}.", "Available under {}.", "SPDX-License-Identifier: {}"]
 
 #: Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = {"licence": "license", "sub-license": "sublicense", "non-infringement": "noninfringement", "acknowledgement": "acknowledgment", "https:": "http:", "&": " and "}
-COPYRIGHT_LINE = r"(?m)^[ \t/*#;>-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that states a copyright: with a sign, a year, a placeholder or a holder behind the word; not one that goes on about copyright.
+COPYRIGHT_LINE = r"(?m)^[ \t/*#;>-]*(copyright[ \t:]*(\(c\)|©|[0-9]{4}|<|\[|by )|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
 
 
 def canonical(c: Column) -> Column:
@@ -72,25 +78,39 @@ def canonical(c: Column) -> Column:
 
 
 def known_table(spark: SparkSession, texts: dict[str, list[str]] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
-    """(unit, digest, license_id): the digests of the given texts (unit 'text') and lines (unit 'line')."""
+    """(unit, digest, n, license_id): the digests and lengths of the given texts' (unit 'text') and lines' (unit 'line') canonical forms."""
     if texts is None:
         texts = {k: [v] + ([f"{TITLES[k]}\n{v}"] if TITLES[k] else []) for k, v in KNOWN_TEXTS.items()}
     if notices is None:
         notices = {k: [f.format(n) for n in names for f in FRAMES] for k, names in NAMES.items()}
     rows = [(unit, k, v) for unit, table in (("text", texts), ("line", notices)) for k, vs in table.items() for v in vs]
     df = spark.createDataFrame(rows, "unit string, license_id string, t string").withColumn("c", canonical(F.col("t")))
-    return df.where("c != ''").groupBy("unit", F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return df.where("c != ''").groupBy("unit", F.sha2("c", 256).alias("digest"), F.length("c").alias("n")).agg(F.min("license_id").alias("license_id"))
+
+
+def texts_in(spark: SparkSession, path: str) -> DataFrame:
+    """(unit, digest, n, license_id) of the whole licence texts in a folder: files named by identifier, with or without a suffix such as .txt."""
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.(txt|md)$", "")
+    read = spark.read.format("binaryFile").load(path).select(name.alias("license_id"), canonical(F.col("content").cast("string")).alias("c"))
+    return read.where("c != ''").groupBy(F.lit("text").alias("unit"), F.sha2("c", 256).alias("digest"), F.length("c").alias("n")).agg(F.min("license_id").alias("license_id"))
+
 
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", max_broadcast: int = 100_000, max_lengths: int = 5000) -> DataFrame:
+    """(id, key, n_rows, canonical_sha256, license_id, notices): per document the digest of its canonical text, the licence it is, or null, and the sorted licences that lines of it name.
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", max_broadcast: int = 100_000) -> DataFrame:
-    """(id, key, n_rows, canonical_sha256, license_id, notices): per document the digest of its canonical text, the licence it is, or null, and the sorted licences that lines of it name."""
+    Lines are picked by their length while the known notices have at most max_lengths different ones; else each is digested.
+    """
     known = known_table(docs.sparkSession) if known is None else known
+    lengths = [r["n"] for r in known.where("unit = 'line'").select("n").distinct().limit(max_lengths + 1).collect()]
     known = known.select(F.col("unit").alias("ku"), F.col("digest").alias("kd"), "license_id")
     known = F.broadcast(known) if known.count() <= max_broadcast else known
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("key"), t.alias("t"))
+    placed = Placed(docs)
+    t = placed(text).cast("string")
+    d = placed.df.select(placed(id_col).alias("id"), F.xxhash64(t).alias("key"), F.coalesce(t, F.lit("")).alias("t"))
     whole = F.struct(F.lit("text").alias("unit"), F.sha2(canonical(F.col("t")), 256).alias("digest"))
-    lines = F.transform(F.filter(F.split(F.lower("t"), "\n"), lambda x: F.contains(x, F.lit("licen")) | F.contains(x, F.lit("under")) | F.contains(x, F.lit("spdx"))), lambda x: F.struct(F.lit("line").alias("unit"), F.sha2(canonical(x), 256).alias("digest")))
+    d = d.withColumn("lines", settled(F.transform(F.array_distinct(F.split("t", "\n")), canonical)))
+    fits = lambda x: F.length(x).isin(lengths) if lengths and len(lengths) <= max_lengths else F.lit(bool(lengths)) & (x != "")
+    lines = F.transform(F.filter("lines", fits), lambda x: F.struct(F.lit("line").alias("unit"), F.sha2(x, 256).alias("digest")))
     u = d.select("id", "key", settled(F.concat(F.array(whole), lines)).alias("u")).select("id", "key", F.explode_outer("u").alias("u")).select("id", "key", "u.*")
     met = u.join(known, (F.col("digest") == F.col("kd")) & (F.col("unit") == F.col("ku")), "left").where("unit = 'text' or license_id is not null")
     is_text = F.col("unit") == "text"
