@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -75,3 +76,23 @@ def test_edge_cases(spark, tables):
     assert d.decontaminate(same, bench.limit(0)).count() == 4
     assert d.decontaminate(docs.limit(0), bench).count() == 0
     assert d.scan(docs, bench.limit(0)).where("size(items) > 0").count() == 0
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_many_spans_in_one_text(spark, bound):
+    """40,000 hit spans: work grows with their number, not with its square."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "item_id bigint, text string")
+    text = " | ".join(f"Alpha, beta gamma x{k}" if k % 2 else f"Delta y{k}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "- delta -")], "doc_id bigint, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in d.decontaminate(docs, bench, max_hit_share=1.0, max_broadcast=bound).collect()}
+    assert time.time() - began < 60
+    assert words(got[1]) == [f"{'x' if k % 2 else 'y'}{k}" for k in range(40_000)] and got[2] == "-  -"
+    r = {r.id: r for r in d.scan(docs, bench, max_broadcast=bound).select("id", d.n_hit().alias("n"), d.spans().alias("spans")).collect()}
+    assert r[1].n == 80_000 and len(r[1].spans) == 40_000 and r[1].spans[1].asDict() == {"p": 2, "e": 5}
+
+
+def test_a_crowded_bitmap_loses_nothing(tables, monkeypatch):
+    monkeypatch.setattr(d, "MAX_BITS", 64)
+    got = {r.id: (r.n_words, r.hit, set(r["items"])) for r in d.scan(*tables).withColumn("hit", d.n_hit()).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts())}
