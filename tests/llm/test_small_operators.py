@@ -1,6 +1,10 @@
 """URL templates, licence digests and chat formatting."""
 
 import json
+import math
+import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +49,81 @@ def test_templates(spark):
     assert url_filter.judge(urls.limit(0), known).count() == 0
 
 
+def test_deep_paths(spark):
+    """Branches that differ in their tenth segment only are told apart."""
+    deep = "/".join("abcdefghi")
+    rows = [(k, f"http://h.net/{deep}/{'bad' if k % 2 else 'good'}/x/y{k % 3}") for k in range(120)]
+    known = spark.createDataFrame([(k, k % 2) for k in range(120)], "page_id bigint, bad int")
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), known).collect()}
+    assert {got[k].verdict for k in range(0, 120, 2)} == {"allow"} and {got[k].verdict for k in range(1, 120, 2)} == {"block"}
+    assert got[1].template == f"/{deep}/bad/x/*" and got[0].template == f"/{deep}/good/x/*"
+
+
+def plain_tree(urls, labels, max_children=20, z=1.96, strength=5.0):
+    """{page: (template, purity)} by a tree in plain Python."""
+    wild = re.compile(r"^(\{[nhd]\}|\*+)(\.|$)")
+    host, shape = {}, {}
+    for i, u in urls:
+        m = re.match(r"[\s\S]*?://([^/?#]*)([^?#]*)", u or "")
+        host[i] = m[1].lower() if m else ""
+        seg = [s for s in (m[2] if m else "").split("/") if s]
+        shape[i] = tuple(re.sub(url_filter.HEX, "{h}", re.sub(url_filter.NUMBER, "{n}", re.sub(url_filter.DATE, "{d}", s))) for s in seg)
+    template = {(host[i], shape[i]): shape[i] for i, _ in urls}
+    n_lab, n_bad = Counter(), Counter()
+    for i, _ in urls:
+        if i in labels:
+            n_lab[host[i], shape[i]] += 1
+            n_bad[host[i], shape[i]] += labels[i]
+    for level in range(max((len(s) for s in shape.values()), default=0)):
+        children = defaultdict(set)
+        for (h, _), t in template.items():
+            if len(t) > level and not wild.match(t[level]):
+                children[h, t[:level]].add(t[level])
+        for k, t in template.items():
+            if len(t) > level and not wild.match(t[level]) and len(children[k[0], t[:level]]) > max_children:
+                template[k] = (*t[:level], "*", *t[level + 1 :])
+        sums = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for k, t in template.items():
+            if len(t) > level:
+                s = sums[k[0], t[:level]][t[level]]
+                s[0] += n_lab[k]
+                s[1] += n_bad[k]
+        merge = {}
+        for node, own in sums.items():
+            pl, pb = (sum(s[x] for s in own.values()) for x in (0, 1))
+            p = (pb + 0.5) / (pl + 1)
+            alike = {c for c, (l, b) in own.items() if not l or abs(b / l - p) <= z * math.sqrt(p * (1 - p) / l)}
+            merge[node] = alike if len(alike) > 1 else set()
+        for k, t in template.items():
+            if len(t) > level and t[level] in merge[k[0], t[:level]]:
+                template[k] = (*t[:level], "*", *t[level + 1 :])
+    total = (sum(n_bad.values()) + 1) / (sum(n_lab.values()) + 2)
+    by_host, by_template = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for k, t in template.items():
+        for s in (by_host[k[0]], by_template[k[0], t]):
+            s[0] += n_lab[k]
+            s[1] += n_bad[k]
+    smooth = lambda s, prior: (s[1] + strength * prior) / (s[0] + strength)
+    return {i: ("/" + "/".join(t := template[host[i], shape[i]]), smooth(by_template[host[i], t], smooth(by_host[host[i]], total))) for i, _ in urls}
+
+
+@pytest.mark.parametrize("made", [True, False])
+def test_templates_against_a_plain_tree(spark, made):
+    if made:
+        rng = random.Random(5)
+        urls = [(i, f"http://h{rng.randrange(3)}.net/" + "/".join(rng.choice(["a", "b", "c", "news", f"v{rng.randrange(40)}", "2024-01", "77"]) for _ in range(rng.randrange(5)))) for i in range(900)] + [(900, None), (901, "none")]
+        labels = {i: int(("/a" in u) if rng.random() < 0.8 else rng.random() < 0.5) for i, u in urls[:500]}
+    else:
+        urls = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+        labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+        labels = {i: labels[i] for i, _ in urls if i in labels}
+    known = spark.createDataFrame(list(labels.items()), "page_id bigint, bad int")
+    got = {r.page_id: (r.template, r.purity) for r in url_filter.judge(spark.createDataFrame(urls, "page_id bigint, url string"), known).collect()}
+    want = plain_tree(urls, labels)
+    assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-9 for i in got) and any("*" in t for t, _ in got.values())
+
+
 def test_licences(spark):
     mit = license_scan.KNOWN_TEXTS["MIT"]
     texts = ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit, mit.upper().replace(",", " ;"), mit.replace("sublicense", "sub-licence"), mit + " And more.", "Some text.\nLicensed under CC BY-NC 4.0.\nMore of it.", "This work is licenced under the GNU General Public License, version 3.\nReleased under the MIT licence.", "", None, "©"]
@@ -58,9 +137,25 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
-def test_every_frame_is_looked_at():
-    for f in license_scan.FRAMES:
-        assert any(w in f.lower() for w in ("licen", "under", "spdx"))
+def test_a_foreign_notice_is_found(spark):
+    known = license_scan.known_table(spark, texts={}, notices={"PD": ["Public domain dedication by Foo"]})
+    docs = spark.createDataFrame([(1, "Intro.\npublic domain: dedication by FOO!\nMore."), (2, "Public domain dedication by Bar")], "doc_id bigint, text string")
+    for how in ({}, {"max_lengths": 0}):
+        assert {r.id: r.notices for r in license_scan.scan(docs, known, **how).collect()} == {1: ["PD"], 2: []}
+
+
+def test_texts_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Own Licence\n\nCopyright (c) 1999 Me\n\nDo as you like; say so.\n" + "Clause. " * 5000)
+    known = license_scan.texts_in(spark, str(tmp_path))
+    long = "OWN LICENSE\n# Copyright 2020 You\nDo as you like - say so." + " clause" * 5000
+    docs = spark.createDataFrame([(1, long), (1, long), (2, long + " x"), (None, None)], "doc_id bigint, text string")
+    assert {(r.id, r.license_id, r.n_rows) for r in license_scan.scan(docs, known).collect()} == {(1, "Own-1.0", 2), (2, None, 1), (None, None, 1)}
+
+
+def test_only_notices_are_dropped(spark):
+    isc = license_scan.KNOWN_TEXTS["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    docs = spark.createDataFrame([(1, "Copyright 2004-2006 by Somebody\n(c) Somebody else\n" + isc)], "doc_id bigint, text string")
+    assert license_scan.scan(docs).first().license_id == "ISC"
 
 
 SCHEMAS = {"f": {"properties": {"x": {"type": "integer"}, "y": {"type": ["string", "null"]}, "z": {"enum": ["p", "q"]}}, "required": ["x"], "additionalProperties": False}}
