@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import bpe, decontaminate, minhash, substring, toxicity
+from grainmill.llm import bpe, decontaminate, simhash, substring, toxicity
 from grainmill.llm._common import fresh_path
 from grainmill.llm.queries import learnable
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (a Jaccard similarity of 0.8 or more on five-word shingles) stays."""
-    return minhash.keep_one(docs, width=5, similarity=0.8).select(COLUMNS)
+    return simhash.keep_one(docs, width=5, similarity=0.8).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,11 +113,11 @@ def _quoted(text: str) -> str:
 _SPACE_RUN = r"[ \t\n\x0B\f\r]+"
 _N_WORDS = f"len(list_filter(string_split_regex(x, '{_SPACE_RUN}'), lambda w: w <> ''))"
 _PASSES = " AND ".join([
-    f"regexp_matches(right(rtrim(x), 12), {_quoted(quality.SENTENCE_END)})",
-    *(f"NOT contains(lower(x), {_quoted(b)})" for b in quality.BOILERPLATE),
+    f"right(rtrim(x, {_quoted(quality.CLOSERS)}), 1) IN ({', '.join(map(_quoted, quality.SENTENCE_ENDS))})",
+    *(f"NOT contains(lower(x), {_quoted(b)})" for bs in quality.BOILERPLATE.values() for b in bs),
     f"NOT regexp_matches(x, {_quoted(quality.BARRED)})",
     f"NOT len(regexp_extract_all(x, '{quality.SYMBOL}')) > 0.1 * {_N_WORDS}",
-    f"NOT regexp_matches(x, {_quoted(quality.MENU)})",
+    f"NOT regexp_matches(lower(x), {_quoted(quality.menu_pattern(quality.MENU_WORDS))})",
 ])
 
 ORACLES["op8_quality_lines"] = f"""

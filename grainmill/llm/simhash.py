@@ -27,8 +27,8 @@ Skew and scale
 
 With `lanes` > 1 a document has several independent fingerprints, and links where any lane is
 within max_bits. At a Jaccard similarity of 0.9 one lane finds few near copies and eight lanes less
-than half (43 % measured, 6 % at 0.8): where a similarity has to be reached for certain, `minhash`
-finds candidates for it and verifies them.
+than half (43 % measured, 6 % at 0.8). `keep_one(similarity=...)` is for where a similarity has to be reached: it
+takes what fingerprints link as candidates, adds those of MinHash keys, and verifies all (`minhash`).
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from grainmill.llm._common import forget, map_arrow, with_arrow, written
+from grainmill.llm._common import Placed, forget, map_arrow, with_arrow, written
 
 _BLOCK = 1 << 15
 _LANE_SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -214,8 +214,8 @@ def links(nodes: DataFrame, lanes: int = 1, max_bits: int = 3, max_list: int = 4
         postings = written(again.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct(), "simhash-refined")
 
 
-def _contracted(edges: DataFrame, n_edges: int, per_task: int) -> DataFrame:
-    """The edges of each task as stars: every node with the smallest node that the task's edges lead to."""
+def _contracted(edges: DataFrame, per_task: int) -> DataFrame:
+    """The edges of each task as stars: every node with the smallest node that the task's edges lead to. A task holds per_task of its edges at a time."""
 
     def run(batches):
         root: dict[int, int] = {}
@@ -226,15 +226,21 @@ def _contracted(edges: DataFrame, n_edges: int, per_task: int) -> DataFrame:
                 x = root[x]
             return x
 
+        def stars():
+            ends = [(x, r) for x in root if (r := find(x)) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = find(a), find(b)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-        ends = [(x, r) for x in root if (r := find(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                if len(root) >= 2 * per_task:
+                    yield stars()
+        yield stars()
 
-    return map_arrow(edges.select("a", "b").coalesce(max(1, -(-n_edges // per_task))), run, "a bigint, b bigint")
+    return map_arrow(edges.select("a", "b"), run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, max_rounds: int = 64, per_task: int = 200_000) -> DataFrame:
@@ -257,10 +263,10 @@ def components(edges: DataFrame, max_rounds: int = 64, per_task: int = 200_000)
 
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     n_edges = now.count()
-    local = written(_contracted(now, n_edges, per_task), "links")
+    local = written(_contracted(now.repartition(max(1, -(-n_edges // per_task))), per_task), "links")
     forget(now)
     now, mark = local, None
-    if n_edges <= per_task:
+    if n_edges <= per_task:  # one task saw them all
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
         new = written(star(star(now, True), False), "links")
@@ -273,31 +279,44 @@ def components(edges: DataFrame, max_rounds: int = 64, per_task: int = 200_000)
     raise RuntimeError(f"links did not settle in {max_rounds} rounds")
 
 
+def _met(left: DataFrame, right: DataFrame, key: str, spread: int = 16) -> DataFrame:
+    """left joined with right (one narrow row per key): right's rows are repeated for each of `spread` salts, so that a key's rows of left are spread over as many tasks."""
+    salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int")
+    return left.withColumn("salt", salt).join(salted, [key, "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, lanes: int = 1, max_bits: int = 3, max_list: int = 4096) -> DataFrame:
     """docs without the text, and `fingerprint` (hex digits of lane 0) and `component_id`.
 
     component_id is the smallest id that can be reached over links, a document's own included. A
     null or empty text has the fingerprint zero and links like any other; null ids take part but are
-    never a component's id (it is null if all its ids are); repeated rows share node and component;
-    an empty table gives none; columns named like the outputs are replaced.
+    never a component's id (it is null if all its ids are); very long texts are hashed whole; repeated rows share
+    node and component; an empty table gives none; columns named like the outputs are replaced, others pass through.
     """
-    return _grouped(docs, id_col, text, width, lanes, max_bits, max_list).drop("_root")
-
-
-def _grouped(docs: DataFrame, id_col: str, text: str, width: int = 3, lanes: int = 1, max_bits: int = 3, max_list: int = 4096) -> DataFrame:
-    """What near_duplicates gives, and `_root`: the component's smallest node, which tells components apart whatever their ids."""
-    kept = [c for c in docs.columns if c not in (text, "fingerprint", "component_id", "_lanes", "_node", "_text", "_root")]
-    plain = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
-    marked = written(fingerprints(plain, "_text", width, lanes, "_lanes"), "simhash-lanes")
-    marked = marked.withColumn("_node", F.col("_lanes")[0] if lanes == 1 else F.xxhash64("_lanes"))
-    nodes = marked.groupBy(F.col("_node").alias("node")).agg(F.first("_lanes").alias("lanes"), F.min(F.col(f"`{id_col}`")).alias("least"))
+    placed = Placed(docs)
+    found, _ = _grouped(placed, id_col, text, width, lanes, max_bits, max_list)
+    outputs = ["fingerprint", "component_id"]
+    others = [c for i, c in enumerate(placed.others([])) if f"c{i}" != placed.place(text) and placed.names[i].lower() not in outputs]
+    return found.select(*others, *outputs)
+
+
+def _grouped(placed: Placed, id_col: str, text: str, width: int, lanes: int, max_bits: int, max_list: int) -> tuple[DataFrame, DataFrame]:
+    """The placed columns but the text, `fingerprint`, `component_id` and `root`, the component's smallest node; and the links (a, b) between nodes."""
+    own = placed.df.withColumn("marked_text", placed(text).cast("string")).drop(placed.place(text))
+    marked = written(fingerprints(own, "marked_text", width, lanes, "lanes"), "simhash-lanes")
+    marked = marked.withColumn("node", F.col("lanes")[0] if lanes == 1 else F.xxhash64("lanes"))
+    nodes = marked.groupBy("node").agg(F.first("lanes").alias("lanes"), F.min(placed.place(id_col)).alias("least"))
     nodes = written(nodes, "simhash-nodes")
-    roots = components(links(nodes.select("node", "lanes"), lanes, max_bits, max_list))
-    named = nodes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "root").select(F.col("node").alias("_node"), "component_id", F.col("root").alias("_root"))
-    hex_digits = F.lpad(F.lower(F.hex(F.col("_lanes")[0])), 16, "0")
-    return marked.join(named, "_node").select(*[F.col(f"`{c}`") for c in kept], hex_digits.alias("fingerprint"), "component_id", "_root")
+    edges = links(nodes.select("node", "lanes"), lanes, max_bits, max_list)
+    roots = components(edges)
+    # Most nodes are alone; those that are not meet their component's smallest id.
+    grown = nodes.select("node", "least").join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
+    smallest = grown.groupBy("root").agg(F.min("least").alias("component_id"))
+    grown = _met(grown.select("node", "root"), smallest, "root").select("node", "root", "component_id")
+    named = nodes.select("node", "least").join(grown, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    hex_digits = F.lpad(F.lower(F.hex(F.col("lanes")[0])), 16, "0")
+    return marked.join(named, "node").withColumn("fingerprint", hex_digits), edges
 
 
 def pick_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,21 +324,27 @@ def pick_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: st
 
     The choice is made on narrow rows. Texts are shuffled once, for the join with it.
     """
-    key = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    placed = Placed(docs)
     found = found.groupBy("root", "id", "h").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h", "n")).alias("p")
-    pick = found.groupBy("root").agg(first).select(F.col("p.id").alias("_id"), F.col("p.h").alias("_h"), F.col("p.n").alias("_n"))
-    pick = written(pick, "simhash-kept")
-    d = docs.withColumn("_key", key)
-    same = lambda p: d[id_col].eqNullSafe(p["_id"]) & (d["_key"] == p["_h"])
-    single = d.join(pick.where("_n = 1").hint("shuffle_hash"), same(pick), "left_semi").drop("_key")
-    repeated = d.join(pick.where("_n > 1").hint("shuffle_hash"), same(pick), "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
-    return single if pick.where("_n > 1").limit(1).count() == 0 else single.unionByName(repeated)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each near-duplicate group, as `pick_one` chooses it."""
-    key = F.xxhash64(F.col(f"`{text}`").cast("string"))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("h"), F.col(f"`{text}`").alias("t"))
-    found = _grouped(narrow, "id", "t", **how).select("id", "h", F.col("_root").alias("root"))
-    return pick_one(docs, found, id_col, text)
+    pick = written(found.groupBy("root").agg(first).select("p.id", "p.h", "p.n"), "simhash-kept")
+    d = placed.df.withColumn("key", F.xxhash64(placed(text).cast("string")))
+    same = placed(id_col).eqNullSafe(F.col("id")) & (F.col("key") == F.col("h"))
+    single = d.join(pick.where("n = 1").hint("shuffle_hash"), same, "left_semi")
+    repeated = d.join(pick.where("n > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates([placed.place(id_col), "key"])
+    return (single if pick.where("n > 1").limit(1).count() == 0 else single.unionByName(repeated)).select(*placed.others([]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, lanes: int = 1, max_bits: int = 3, max_list: int = 4096, similarity: float | None = None) -> DataFrame:
+    """One document of each near-duplicate group, as `pick_one` chooses it.
+
+    similarity: texts link at this Jaccard similarity of their sets of shingles, verified, and not by bits (see `minhash`).
+    """
+    if similarity is not None:
+        from grainmill.llm.minhash import groups  # built on this module
+
+        return pick_one(docs, groups(docs, id_col, text, width, similarity, max_bits=max_bits, max_list=max_list), id_col, text)
+    placed = Placed(docs)
+    narrow = Placed(placed.df.select(placed(id_col).alias("id"), F.xxhash64(placed(text).cast("string")).alias("h"), placed(text).alias("t")))
+    found, _ = _grouped(narrow, "id", "t", width, lanes, max_bits, max_list)
+    return pick_one(docs, found.select(F.col("c0").alias("id"), F.col("c1").alias("h"), "root"), id_col, text)

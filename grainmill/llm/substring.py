@@ -24,9 +24,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from grainmill.llm._common import map_arrow, with_arrow
+from grainmill.llm._common import Placed, map_arrow, with_arrow
 
 WINDOW_BYTES = 16
 #: One 16-bit gear value per byte, from a hash of the byte.
@@ -116,13 +116,14 @@ def chunk_rows(docs: DataFrame, id_col: str, text: str, mean_words: int, window:
         if parts:
             yield flush(parts)
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text}`").cast("string").cast("binary"), _text_hash(text))
+    placed = Placed(docs)
+    narrow = placed.df.select(placed(id_col).cast("bigint"), placed(text).cast("string").cast("binary"), _text_hash(placed(text)))
     return map_arrow(narrow, run, "digest bigint, salt int, id bigint, pos bigint")
 
 
-def _text_hash(text: str):
+def _text_hash(text: Column) -> Column:
     """31 bits of the text's hash: tells texts apart that share an id, and orders them."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`").cast("string")), 33).cast("bigint")
+    return F.shiftrightunsigned(F.xxhash64(text.cast("string")), 33).cast("bigint")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_words: int = 5) -> DataFrame:
@@ -136,12 +137,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_wo
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_words: int = 5, min_words: int = 20) -> DataFrame:
     """docs with the repeated passages cut out of the text, and `removed` (array of byte spans of the old text), `n_removed_words`, `n_chunks`."""
-    found = repeats(docs, id_col, text, mean_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("dup").alias("_dup"))
-    d = docs.withColumn("_key", F.coalesce(_text_hash(text), F.lit(-1)))
-    met = d.join(found.hint("shuffle_hash"), d[id_col].cast("bigint").eqNullSafe(found["_id"]) & (d["_key"] == found["_h"]), "left").drop("_id", "_h", "_key")
+    placed = Placed(docs)
+    own = placed.place(text)
+    found = repeats(docs, id_col, text, mean_words).select(F.col("id").alias("fid"), F.col("h").alias("fh"), "dup")
+    d = placed.df.withColumn("key", F.coalesce(_text_hash(placed(text)), F.lit(-1)))
+    met = d.join(found.hint("shuffle_hash"), placed(id_col).cast("bigint").eqNullSafe(F.col("fid")) & (F.col("key") == F.col("fh")), "left").drop("fid", "fh", "key")
 
     def add(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts, dups = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, "_dup"))
+        texts, dups = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (own, "dup"))
         out, spans, cut_words, counts = [], [], [], []
         for t, dup in zip(texts, dups, strict=True):
             raw = t.encode("utf-8") if t else b""
@@ -162,9 +165,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mean_word
             cut_words.append(int(sum(n[i:j].sum() for i, j in runs)))
             counts.append(len(at))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return {text: pa.array(out, pa.string()), "removed": pa.array(spans, kind), "n_removed_words": pa.array(cut_words, pa.int64()), "n_chunks": pa.array(counts, pa.int64())}
+        return {own: pa.array(out, pa.string()), "removed": pa.array(spans, kind), "n_removed_words": pa.array(cut_words, pa.int64()), "n_chunks": pa.array(counts, pa.int64())}
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    outputs = {text: T.StringType(), "removed": span, "n_removed_words": T.LongType(), "n_chunks": T.LongType()}
-    done = with_arrow(met, add, outputs, keep=[c for c in docs.columns if c not in outputs])
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("removed", "n_removed_words", "n_chunks")], "removed", "n_removed_words", "n_chunks")
+    outputs = {own: T.StringType(), "removed": span, "n_removed_words": T.LongType(), "n_chunks": T.LongType()}
+    done = with_arrow(met, add, outputs, keep=placed.df.columns)
+    named = [x for x in outputs if x != own]
+    return done.select(*placed.others(named), *named)

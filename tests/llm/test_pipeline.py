@@ -7,9 +7,10 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as p
-from grainmill.llm import bpe, simhash, substring, toxicity
+from grainmill.llm import bpe, substring, toxicity
 from grainmill.llm.queries import learnable
 from tests.llm import test_decontaminate as plain_bench
+from tests.llm.test_minhash import brute as plain_groups
 from tests.llm.test_substring import brute as plain_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -48,22 +49,8 @@ def test_toxicity(spark, stages):
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
     t = texts(before)
-    lanes = {i: [simhash.fingerprint(simhash.shingle_hashes(x, 5), k) for k in range(8)] for i, x in t.items()}
-    ids = sorted(t)
-    root = {i: i for i in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            if any((a ^ b).bit_count() <= 3 for a, b in zip(lanes[i], lanes[j], strict=True)):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    assert texts(after) == {i: t[i] for i in ids if find(i) == i}
-    assert len(texts(after)) < len(t)
+    kept = set(plain_groups(t).values())
+    assert texts(after) == {i: t[i] for i in kept} and len(kept) < len(t)
 
 
 def test_substrings(stages):

@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from grainmill.llm import minhash, simhash
+from grainmill.llm import simhash
 
 SCHEMA = "doc_id bigint, text string, extra string"
 
@@ -126,5 +126,5 @@ def test_keep_one_tells_components_apart_whatever_their_ids(spark):
     own = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcd"]
     rows = [(None, own[0], "a"), (None, own[1], "b"), (None, own[1], "b"), (6, own[2], "c"), (6, own[3], "d")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    for kept in (simhash.keep_one(docs, width=5, lanes=8), minhash.keep_one(docs)):
+    for kept in (simhash.keep_one(docs, width=5, lanes=8), simhash.keep_one(docs, width=5, similarity=0.8)):
         assert sorted(r.extra for r in kept.collect()) == ["a", "b", "c", "d"]
