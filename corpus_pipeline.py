@@ -39,8 +39,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it again."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     marked = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    encoded = bpe.encode(marked, path, pattern, keep=["doc_id", "lang", "source", "text_sha256"])
-    decoded = bpe.decode(encoded, path, pattern)
+    decoded = bpe.encode(marked, path, pattern, keep=["doc_id", "lang", "source", "text_sha256"], decoded="decoded")
     exact = F.sha2("decoded", 256) == F.col("text_sha256")
     return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), exact.alias("round_trip"))
 

@@ -36,7 +36,7 @@ from grainmill.llm._common import with_arrow
 
 _MASK = (1 << 64) - 1
 #: Characters, pre-tokens or ids that are in work at a time.
-PART = 1 << 21
+PART = 1 << 20
 
 
 class PerfectHash:
@@ -154,7 +154,7 @@ def _joined(values: pa.Array, bounds: np.ndarray) -> pa.Array:
 class Codec:
     """Encoder and decoder for one rank file and one pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 200_000):
+    def __init__(self, path: str, pattern: str, remember: int = 150_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = list(self.ranks)
@@ -271,15 +271,21 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with `ids` (binary: little-endian unsigned 32-bit integers) and `n_tokens` (long)."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """docs with `ids` (binary: little-endian unsigned 32-bit integers) and `n_tokens` (long).
+
+    decoded: the name of a further column with the bytes that the ids decode to, as `decode` gives them, by the same worker
+    in the same pass.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     def add(b: pa.RecordBatch) -> dict[str, pa.Array]:
         packed = list(sent.value.encode_all(t.as_py() for t in b.column(b.schema.get_field_index(text))))
-        return {"ids": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64())}
+        out = {"ids": pa.array(packed, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64())}
+        return out if decoded is None else out | {decoded: pa.array(list(sent.value.decode_all(packed)), pa.binary())}
 
-    return with_arrow(docs, add, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, keep=keep)
+    outputs = {"ids": T.BinaryType(), "n_tokens": T.LongType()} | ({} if decoded is None else {decoded: T.BinaryType()})
+    return with_arrow(docs, add, outputs, keep=keep)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:

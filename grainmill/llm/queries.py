@@ -71,8 +71,7 @@ def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, keep=["doc_id"])
-    decoded = bpe.decode(encoded, path, pattern)
+    decoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, keep=["doc_id"], decoded="decoded")
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -1,5 +1,6 @@
 """Byte-pair encoding against the public library, and exact round trips."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -63,4 +64,20 @@ def test_frames(spark, library):
     out = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN).collect()
     assert [bytes(r.decoded).decode() for r in out] == [t or "" for _, t, _ in rows]
     assert [r.n_tokens for r in out] == [len(library.encode_ordinary(t or "")) for _, t, _ in rows]
+    once = bpe.encode(docs, PATH, PATTERN, decoded="back").collect()
+    assert [(r.ids, r.back) for r in once] == [(r.ids, r.decoded) for r in out]
     assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_texts_longer_than_a_part(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 50)
+    texts = [None, "short one", "", "Wörter, words and  more\n\n" * 30, "x" * 49, "é" * 51, "tail"]
+    packed = list(codec.encode_all(texts))
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [library.encode_ordinary(t or "") for t in texts]
+    assert [x.decode() for x in codec.decode_all(packed)] == [t or "" for t in texts]
+
+
+def test_unknown_ids(codec):
+    for bad in (50_256, 2**32 - 1):
+        with pytest.raises(KeyError):
+            codec.decode_packed(np.array([1, bad], "<u4").tobytes())
