@@ -73,6 +73,25 @@ def similar_pairs(sets: list[np.ndarray], one: np.ndarray, other: np.ndarray, si
     return out
 
 
+def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Of links among n things, at most n - 1 that connect the same ones."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out
+
+
 def _units(lists: DataFrame, block: int) -> DataFrame:
     """(unit, node, side): the work that lists (key, node, comp) leave, sides 1, 2 or both (3), to be compared 1 against 2.
 
@@ -133,13 +152,13 @@ def _units(lists: DataFrame, block: int) -> DataFrame:
 
 
 def _compare(work: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs of each unit of work (unit, node, side, shingles) that are similar enough."""
+    """(a, b): of each unit of work (unit, node, side, shingles), a spanning forest of the pairs that are similar enough."""
 
     def close(rows: list[tuple]) -> list[tuple[int, int]]:
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
         side = np.array([r[1] for r in rows])
         pairs = similar_pairs(sets, np.flatnonzero(side & 1), np.flatnonzero(side & 2), similarity)
-        return [(rows[i][0], rows[j][0]) for i, j in pairs]
+        return [(rows[i][0], rows[j][0]) for i, j in forest(pairs, len(rows))]
 
     def run(batches):
         last, rows = None, []

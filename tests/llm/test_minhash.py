@@ -64,3 +64,21 @@ def test_stage_keeps_one_of_each_similar_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], schema)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert {r.doc_id: r.text for r in kept} == {i: texts[i] for i in set(brute(texts).values())}
+
+
+def test_a_forest_connects_what_the_pairs_connect():
+    rng = random.Random(8)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)] * 3
+    few = minhash.forest(pairs, 60)
+    assert set(few) <= set(pairs) and len(few) < 60
+
+    def parts(links):
+        group = {i: {i} for i in range(60)}
+        for a, b in links:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+        return {frozenset(g) for g in group.values()}
+
+    assert parts(few) == parts(pairs) and len(few) == 60 - len(parts(pairs))
