@@ -21,6 +21,8 @@ none; columns beyond the four are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: JSON Schema's names of types, and how Spark names the type of a parsed value.
@@ -28,10 +30,21 @@ TYPES = {"string": "^STRING$", "integer": "^(BIGINT|DECIMAL\\([0-9]+,0\\))$", "n
 CALL = "array<struct<id:string,name:string,arguments:string>>"
 
 
+def _refuse(where: str, schema: dict, known: set[str]) -> None:
+    """A keyword that is not checked must not pass for one that is."""
+    if odd := sorted(set(schema) - known - {"title", "description", "default", "examples"}):
+        raise ValueError(f"schema of {where!r}: {', '.join(odd)} not supported")
+
+
 def _checks(args: Column, schemas: dict[str, dict]) -> Column:
     """Per tool, whether a call's parsed arguments satisfy its schema: {properties: {name: {type, enum}}, required: [...], additionalProperties: bool}."""
     out = F.lit(False)
     for tool, schema in schemas.items():
+        _refuse(tool, schema, {"type", "properties", "required", "additionalProperties"})
+        if schema.get("type", "object") != "object" or not isinstance(schema.get("additionalProperties", True), bool):
+            raise ValueError(f"schema of {tool!r}: arguments are an object, additionalProperties true or false")
+        for name, p in schema.get("properties", {}).items():
+            _refuse(f"{tool}.{name}", p, {"type", "enum"})
         props, ok = schema.get("properties", {}), F.schema_of_variant(args).rlike("^OBJECT<")
         for name in schema.get("required", []):
             ok &= F.try_variant_get(args, f'$["{name}"]', "variant").isNotNull()
@@ -41,7 +54,7 @@ def _checks(args: Column, schemas: dict[str, dict]) -> Column:
             if kinds:
                 ok &= v.isNull() | F.schema_of_variant(v).rlike("|".join(TYPES[k] for k in kinds))
             if "enum" in p:
-                ok &= v.isNull() | F.try_variant_get(args, f'$["{name}"]', "string").isin(*map(str, p["enum"]))
+                ok &= v.isNull() | F.to_json(v).isin(*(json.dumps(x, separators=(",", ":"), sort_keys=True, ensure_ascii=False) for x in p["enum"]))
         if schema.get("additionalProperties") is False:
             keys = F.json_object_keys(F.to_json(args))
             ok &= F.size(F.array_except(keys, F.array(*map(F.lit, props)) if props else F.array().cast("array<string>"))) == 0
@@ -53,7 +66,8 @@ def messages(turns: DataFrame, schemas: dict[str, dict] | None = None, conv: str
     """(conv_id, turn, role, rank, n_calls, n_valid_calls, n_open_calls, link, json): one row per turn.
 
     link is null for messages that answer no call, else 'linked' or 'unmatched'. schemas: argument
-    schemas by tool; calls of other tools are invalid, and without any schemas every object is valid.
+    schemas by tool; calls of other tools are invalid, and without any schemas every object is valid. A schema
+    with a keyword other than type, enum, properties, required and additionalProperties is refused.
     """
     t = turns.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").cast("string").alias("text"))
     looks = F.ltrim("text").startswith("{")

@@ -23,6 +23,7 @@ def learnable(doc_id: str = "doc_id"):
 
 
 def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no labels of their own: a page counts as labelled if a document of the same number is, bad if that is toxic or of low quality."""
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict", "template")
@@ -80,7 +81,39 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_chunks", "n_removed_words", "removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_templates, op2_decontaminate, op3_arc_to_warc, op4_simhash, op5_license_scan, op6_toxicity, op7_chat, op8_quality_lines, op9_byte_bpe, op10_gear_chunks)}
+def chat_built_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's operator with something to link: every user turn becomes a call, the assistant turn behind it its result. Every third call has an invalid argument, every fifth result an identifier that no call has."""
+    m = _table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    number = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    limit = F.when(F.col("turn") % 3 == 1, F.lit('"many"')).otherwise(F.col("turn").cast("string"))
+    query = F.substring(F.to_json(F.struct(F.col("text").alias("query"))), 2, 1 << 30)
+    call = F.concat(F.lit('{"tool_calls": [{"id": "'), number(F.col("turn")), F.lit('", "name": "search", "arguments": {"limit": '), limit, F.lit(", "), query, F.lit("]}"))
+    call = F.regexp_replace(call, r"\]\}$", "}]}")
+    result = F.to_json(F.struct(F.when(F.col("turn") % 5 == 4, F.lit("lost")).otherwise(number(F.col("turn") - 1)).alias("tool_call_id"), F.col("text").alias("content")))
+    built = m.withColumn("text", F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")))
+    built = built.withColumn("role", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")))
+    got = chat.messages(built, TOOLS)
+    return got.select("conv_id", "turn", "role", F.array_join(F.transform("rank", lambda x: x.cast("string")), ",").alias("rank"), "n_calls", "n_valid_calls", "n_open_calls", "link", "json")
+
+
+def _licence_variants() -> list[tuple[int, str]]:
+    """Known licence texts as files have them: under a title and a copyright line, in upper case, in the other spelling."""
+    out = []
+    for name, text in license_scan.KNOWN_TEXTS.items():
+        title = license_scan.TITLES[name]
+        out += [f"{title + chr(10) if title else ''}Copyright (c) 2020 Someone\n\n{text}", text.upper().replace(".", " ."), text.replace("license", "licence") + "\n", text + " Or so."]
+    return [(-1 - k, t) for k, t in enumerate(out)]
+
+
+def license_known_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator with whole texts to find: the known licences, varied, among all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_licence_variants(), "doc_id bigint, text string"))
+    found = license_scan.scan(docs)
+    found = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))))
+    return found.select(F.col("id").alias("doc_id"), "canonical_sha256", "license_id", F.array_join("notices", ",").alias("notices"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_templates, op2_decontaminate, op3_arc_to_warc, op4_simhash, op5_license_scan, op6_toxicity, op7_chat, op8_quality_lines, op9_byte_bpe, op10_gear_chunks, chat_built_calls, license_known_texts)}
 
 WORD2 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,3 +185,20 @@ ORACLES["op5_license_scan"] = f"""
 ORACLES["op7_chat"] = """
     SELECT conv_id, turn, role, turn || ',0,0,' || turn AS rank, 0::BIGINT n_calls, 0::BIGINT n_valid_calls, 0::BIGINT n_open_calls, NULL::VARCHAR link,
         '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json FROM conversations"""
+
+ORACLES["license_known_texts"] = ORACLES["op5_license_scan"].replace("FROM documents)", f"FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_quoted(t)})' for i, t in _licence_variants())}) v(doc_id, text)))")
+
+ORACLES["chat_built_calls"] = """
+    WITH m AS (SELECT conv_id, turn, role, to_json(coalesce(text, ''))::VARCHAR t, text FROM conversations),
+    j AS (SELECT m.*, m.role = 'assistant' AND m.turn % 5 <> 4 AND c.turn IS NOT NULL AS linked, m.role = 'user' AND r.turn IS NULL AS open
+        FROM m LEFT JOIN m c ON c.conv_id = m.conv_id AND c.turn = m.turn - 1 AND c.role = 'user'
+        LEFT JOIN m r ON r.conv_id = m.conv_id AND r.turn = m.turn + 1 AND r.role = 'assistant' AND r.turn % 5 <> 4)
+    SELECT conv_id, turn, CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'tool' ELSE role END AS role,
+        CASE WHEN linked THEN (turn - 1) || ',1,0,' || turn ELSE turn || ',0,0,' || turn END AS rank,
+        (role = 'user')::BIGINT n_calls, (role = 'user' AND turn % 3 <> 1)::BIGINT n_valid_calls, open::BIGINT n_open_calls,
+        CASE WHEN linked THEN 'linked' WHEN role = 'assistant' THEN 'unmatched' END AS link,
+        CASE role
+            WHEN 'user' THEN '{"content":null,"role":"assistant","tool_calls":[{"arguments":{"limit":' || CASE WHEN turn % 3 = 1 THEN '"many"' ELSE turn::VARCHAR END || ',"query":' || t || '},"id":"c' || turn || '","name":"search"}]}'
+            WHEN 'assistant' THEN '{"content":' || t || ',"role":"tool","tool_call_id":"' || CASE WHEN turn % 5 = 4 THEN 'lost' ELSE 'c' || (turn - 1) END || '"}'
+            ELSE '{"content":' || t || ',"role":' || to_json(role)::VARCHAR || '}' END AS json
+    FROM j"""

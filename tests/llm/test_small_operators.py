@@ -203,3 +203,16 @@ def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     assert chat.messages(df).count() == 4
     assert chat.messages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("value", "ok"), [(1, 1), ("1", 0), (True, 0), ("p", 1), ("P", 0)])
+def test_enums_have_types(spark, value, ok):
+    df = spark.createDataFrame([(1, 0, "assistant", assistant(call("i", {"x": value})))], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.messages(df, {"f": {"properties": {"x": {"enum": [1, "p"]}}}}).first().n_valid_calls == ok
+
+
+@pytest.mark.parametrize("schema", [{"anyOf": []}, {"properties": {"x": {"minimum": 1}}}, {"properties": {"x": {"type": "array", "items": {}}}}, {"type": "array"}, {"additionalProperties": {}}])
+def test_keywords_that_are_not_checked_are_refused(spark, schema):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    with pytest.raises(ValueError):
+        chat.messages(df, {"f": schema})
