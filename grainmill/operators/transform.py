@@ -231,7 +231,8 @@ def _imputed(data: DataFrame, names: Sequence[str], mode: str, seed: int, trunca
         if mode == "mean_by_std":
             sd = row[f"s{i}"] or 0.0
             low, high = int(v - sd), int(v + sd)
-            new = F.floor(F.rand(seed + i) * (high - low + 1)) + low
+            draw = F.xxhash64(*(named(n) for n in data.columns), F.lit(seed), F.lit(i))  # of the row, so that it survives repartitioning
+            new = F.pmod(draw, F.lit(high - low + 1)) + low
         else:
             new = F.lit(int(v) if truncate else v)
         x = present(data, c)

@@ -5,6 +5,7 @@ Floating results are rounded on both sides, as the order of summation is not fix
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -392,6 +393,21 @@ def datetime_handler_drop(spark, d):
     return g.datetime_handler(load(spark, d, "events").select("event_id", "ts", "value"), "drop")
 
 
+@query("SELECT event_id, ts, value FROM events WHERE ts IS NOT NULL")
+def datetime_handler_retain(spark, d):
+    """Timestamps come first; whether they do is part of the result."""
+    out = g.datetime_handler(load(spark, d, "events").select("event_id", "value", "ts"), "retain")
+    return out.where(F.lit(out.columns[0] == "ts"))
+
+
+@query("SELECT o_orderkey::DOUBLE AS o_orderkey, o_totalprice, NULL::DOUBLE AS o_orderpriority FROM orders")
+def read_large_csv(spark, d):
+    """Orders, written as a CSV file and read back: numbers as numbers, texts as missing."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orders-csv-{uuid.uuid4().hex}"
+    load(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus", "o_totalprice").write.option("header", True).csv(path)
+    return g.read_large_csv(spark, path, cols=["o_orderkey", "o_totalprice", "o_orderpriority"])
+
+
 @query("SELECT s_suppkey, list_aggregate(string_split(lpad(s_suppkey::VARCHAR, (SELECT max(length(s_suppkey::VARCHAR)) FROM supplier)::INT, '0'), ''), 'string_agg', ',') AS chars FROM supplier")
 def int_to_chars(spark, d):
     return g.int_to_chars(load(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", F.array_join("chars", ",").alias("chars"))
@@ -440,6 +456,16 @@ def _imputing(mode):
     return run
 
 
+@query(f"SELECT l_orderkey, l_linenumber, l_discount, coalesce(l_quantity, (SELECT trunc(median(l_quantity)) FROM {N13})) AS l_quantity FROM {N13}")
+def imputing_nans(spark, d):
+    return g.imputing_nans(n13(spark, d).select("l_orderkey", "l_linenumber", "l_discount", "l_quantity"), ["l_quantity"], "median")
+
+
+@query("SELECT l_returnflag, (list(l_linenumber ORDER BY n DESC, l_linenumber))[1] AS l_linenumber FROM (SELECT l_returnflag, l_linenumber, count(*) n FROM lineitem GROUP BY ALL) GROUP BY 1")
+def groupby_mode(spark, d):
+    return g.df_to_groupby(load(spark, d, "lineitem").select("l_returnflag", "l_linenumber"), "l_returnflag", "mode")
+
+
 for _mode, _sql in (("mean", "trunc(avg(l_quantity))"), ("median", "trunc(median(l_quantity))"), ("common", "(SELECT l_quantity FROM lineitem WHERE l_quantity <> 13 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")):
     query(f"SELECT l_orderkey, l_linenumber, coalesce(l_quantity, (SELECT {_sql} FROM {N13} LIMIT 1)) AS l_quantity FROM {N13}", f"df_impute_nan_{_mode}")(_imputing(_mode))
 
