@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -40,60 +44,106 @@ def _spearman(data: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[s
     return out
 
 
-def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Kendall's tau-b in O(n log n): rows sorted by x, then y; discordant pairs are the swaps of a merge sort of y."""
-    n = len(x)
-    if n < 2:
-        return None
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-
-    def tied(*cols) -> int:
-        change = np.ones(len(cols[0]), bool)
-        change[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        runs = np.diff(np.append(np.flatnonzero(change), len(cols[0]))).astype(np.int64)
-        return int((runs * (runs - 1) // 2).sum())
-
-    swaps, width, work = 0, 1, np.unique(y, return_inverse=True)[1].astype(np.int64)
-    top = int(work.max()) + 1
-    while width < n:
-        block = np.arange(n) // (2 * width)
-        right = (np.arange(n) // width) % 2 == 1
-        key = block * top + work
-        # Of each right element, the elements of its left neighbour block that are greater.
-        left_keys = key[~right]
-        ends = np.searchsorted(left_keys, (block[right] + 1) * top, "left")
-        swaps += int((ends - np.searchsorted(left_keys, key[right], "right")).sum())
-        work = np.sort(key, kind="stable") - block * top
-        width *= 2
-    total = n * (n - 1) // 2
-    tx, ty, both = tied(x), tied(np.sort(y)), tied(x, y)
-    rest = (total - tx) * (total - ty)
-    return float((total - tx - ty + both - 2 * swaps) / np.sqrt(float(rest))) if rest > 0 else None
-
-
-def _kendall(data: DataFrame, pairs: Sequence[tuple[str, str]], max_rows: int) -> dict[tuple[str, str], float | None]:
-    """Exact tau-b has no distributed form without a quadratic join: a pair's numbers go to the driver, and too many are an error."""
-    n = data.count()
-    if n > max_rows:
-        raise ValueError(f"kendall is exact and takes {max_rows} rows at most; there are {n}")
-    table = data.select(*(number(data, c).alias(c) for c in sorted({c for p in pairs for c in p}))).toPandas()
-    out = {}
-    for a, b in pairs:
-        x, y = table[a].to_numpy(), table[b].to_numpy()
-        both = ~(np.isnan(x) | np.isnan(y))
-        out[(a, b)] = kendall_tau_b(x[both], y[both])
-    return out
+def pair_counter():
+    """A function of rows (x, y, weight): the weight of the pairs that x and y order differently, ties in neither counted.
 
+    Rows sorted by x, then y, are merge-sorted by y, all blocks of a width at once: O(n log² n) without a loop over rows.
+    It is made here, not at the top of the module, so that Spark sends it whole to workers that cannot import this package.
+    """
 
-def correlations(data: DataFrame, pairs: Sequence[tuple[str, str]], method: str = "pearson", max_rows: int = 1_000_000) -> dict[tuple[str, str], float | None]:
+    def discordant(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> int:
+        order = np.lexsort((y, x))
+        n, found, width = len(order), 0, 1
+        ranks = np.unique(y, return_inverse=True)[1].astype(np.int64)[order]
+        weight = weight.astype(np.int64)[order]
+        top = int(ranks.max(initial=0)) + 1
+        while width < n:
+            block, right = np.arange(n) // (2 * width), (np.arange(n) // width) % 2 == 1
+            key = block * top + ranks
+            left = key[~right]
+            before = np.append(0, np.cumsum(weight[~right]))
+            # Of each right row, the weight of the rows of its left neighbour block that have a greater y.
+            greater = before[np.searchsorted(left, (block[right] + 1) * top, "left")] - before[np.searchsorted(left, key[right], "right")]
+            found += int((weight[right] * greater).sum())
+            order = np.argsort(key, kind="stable")
+            ranks, weight = ranks[order], weight[order]
+            width *= 2
+        return found
+
+    return discordant
+
+
+#: Ranges a column is cut into at most: their cells, of which at most (2 * MOST_RANGES + 1) squared hold rows, come to the driver.
+MOST_RANGES = 1000
+
+
+def _kendall(data: DataFrame, pairs: Sequence[tuple[str, str]], range_rows: int) -> dict[tuple[str, str], float | None]:
+    """Exact tau-b by ranges of both columns; no task sees more than the rows between two neighbouring quantiles.
+
+    Even ranges lie between cuts, odd ones are single values, in which all is tied. A discordant pair has its rows in
+    different ranges of both columns (counted from the cells' sizes), in one range of x (by a task per range), or in one
+    range of y and different ones of x (again by a task per range). Equal rows are counted once, with their number.
+    """
+    names = sorted({c for p in pairs for c in p})
+    most = max(fit(data, {c: F.count(number(data, c)) for c in names}), default=0)
+    parts = min(MOST_RANGES, max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // range_rows), 2))
+    got = fit(data, {c: F.percentile_approx(number(data, c), [i / parts for i in range(1, parts)], 10_000) for c in names})
+    cuts = {c: F.lit(sorted(set(got[c]))).cast("array<double>") if got[c] else F.array().cast("array<double>") for c in names}
+    return {(a, b): _tau_b(data.select(number(data, a).alias("x"), number(data, b).alias("y")), cuts[a], cuts[b]) for a, b in pairs}
+
+
+def _tau_b(rows: DataFrame, x_cuts: Column, y_cuts: Column) -> float | None:
+    side = lambda v, cuts: 2 * F.size(F.filter(cuts, lambda c: c < F.col(v))) + F.array_contains(cuts, F.col(v)).cast("int")
+    points = rows.where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    cells = points.select("x", "y", "c", side("x", x_cuts).alias("i"), side("y", y_cuts).alias("j"))
+    discordant, total = pair_counter(), lambda v: F.coalesce(F.sum(v.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    twice = total(F.col("c").cast("decimal(19,0)") * (F.col("c").cast("decimal(19,0)") - 1))
+    count = lambda x: lambda p: pd.DataFrame({"v": [discordant(p[x].to_numpy(), p["y"].to_numpy(), p["c"].to_numpy())]})
+    one_x = cells.where("i % 2 = 0").groupBy("i").applyInPandas(count("x"), "v bigint")
+    one_y = cells.where("j % 2 = 0").groupBy("i", "j", "y").agg(F.sum("c").alias("c")).groupBy("j").applyInPandas(count("i"), "v bigint")
+    scalars = {
+        "n": points.agg(total(F.col("c")).alias("v")),
+        "xy": points.agg(twice.alias("v")),
+        "x": points.groupBy("x").agg(F.sum("c").alias("c")).agg(twice.alias("v")),
+        "y": points.groupBy("y").agg(F.sum("c").alias("c")).agg(twice.alias("v")),
+        "one_x": one_x.agg(total(F.col("v")).alias("v")),
+        "one_y": one_y.agg(total(F.col("v")).alias("v")),
+    }
+    parts = [part.select(F.lit(name).alias("what"), F.lit(0).alias("i"), F.lit(0).alias("j"), "v") for name, part in scalars.items()]
+    parts.append(cells.groupBy("i", "j").agg(total(F.col("c")).alias("v")).select(F.lit("cell").alias("what"), "i", "j", "v"))
+    found, grid = {}, {}
+    for what, i, j, v in reduce(DataFrame.unionByName, parts).collect():
+        if what == "cell":
+            grid[(i, j)] = int(v)
+        else:
+            found[what] = int(v)
+    swaps = found["one_x"] + found["one_y"] + _cell_pairs(grid)
+    n, tx, ty, both = found["n"] * (found["n"] - 1) // 2, found["x"] // 2, found["y"] // 2, found["xy"] // 2
+    rest = (n - tx) * (n - ty)
+    return float((n - tx - ty + both - 2 * swaps) / math.sqrt(rest)) if rest > 0 else None
+
+
+def _cell_pairs(grid: dict[tuple[int, int], int]) -> int:
+    """Pairs of rows of which one lies in a smaller range of x and a greater range of y than the other."""
+    high = max((j for _, j in grid), default=0) + 1
+    above, found = np.zeros(high + 1, object), 0  # rows of smaller ranges of x in a range of y or a greater one; Python's integers do not overflow
+    for _, cells in groupby(sorted(grid.items()), lambda c: c[0][0]):
+        here = np.zeros(high + 1, object)
+        for (_, j), n in cells:
+            found += n * above[j + 1]
+            here[j] = n
+        above += np.cumsum(here[::-1])[::-1]
+    return found
+
+
+def correlations(data: DataFrame, pairs: Sequence[tuple[str, str]], method: str = "pearson", range_rows: int = 1_000_000) -> dict[tuple[str, str], float | None]:
     if method == "pearson":
         got = fit(data, {str(i): F.corr(*_pair(data, a, b)) for i, (a, b) in enumerate(pairs)}) if pairs else {}
         return {p: got[str(i)] for i, p in enumerate(pairs)}
     if method == "spearman":
         return _spearman(data, pairs)
     if method == "kendall":
-        return _kendall(data, pairs, max_rows)
+        return _kendall(data, pairs, range_rows)
     raise ValueError(f"method is pearson, spearman or kendall, not {method!r}")
 
 
@@ -106,11 +156,14 @@ def correlation_with(data: DataFrame, y: str, names: Sequence[str], method: str
     return {c: 1.0 if c == y else got[(c, y)] for c in names}
 
 
-def df_corr_any(data: DataFrame, correlation: str = "pearson", max_rows: int = 1_000_000) -> DataFrame:
-    """(column, one double column per numeric column): the matrix over complete pairs, columns that are no numbers left out."""
+def df_corr_any(data: DataFrame, correlation: str = "pearson", range_rows: int = 1_000_000) -> DataFrame:
+    """(column, one double column per numeric column): the matrix over complete pairs, columns that are no numbers left out.
+
+    range_rows: rows that a task of Kendall's tau is meant to take; more rows make more ranges, up to MOST_RANGES.
+    """
     names = [c for c in data.columns if is_numeric(data, c)]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    r = correlations(data, pairs, correlation, max_rows)
+    r = correlations(data, pairs, correlation, range_rows)
     rows = [(a, *(r.get((a, b), r.get((b, a))) for b in names)) for a in names]
     schema = ", ".join(["column string", *(f"`{c}` double" for c in names)])
     return data.sparkSession.createDataFrame(rows, schema)

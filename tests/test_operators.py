@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import grainmill as g
 from grainmill.functions.core import number_rows
-from grainmill.operators.corr import kendall_tau_b
+from grainmill.operators.corr import correlations
 from grainmill.operators.transform import bucket_edges, edge_label
 
 NAN = float("nan")
@@ -140,17 +140,21 @@ def test_merge_matches_missing_keys(spark):
     assert g.df_merge(a, b, False, "k", null_safe=False).count() == 1
 
 
-def test_kendall_agrees_with_all_pairs():
-    rng = np.random.default_rng(0)
-    for n in (2, 3, 50, 301):
-        x, y = rng.integers(0, 8, n).astype(float), rng.integers(0, 12, n).astype(float)
+@pytest.mark.parametrize(("n", "hot"), [(0, 0), (1, 0), (2, 0), (3, 0), (50, 0), (301, 0), (301, 0.5), (301, 1)])
+def test_kendall_agrees_with_all_pairs(spark, n, hot):
+    rng = np.random.default_rng(n)
+    for wide in (False, True):
+        x, y = (rng.normal(size=n), rng.normal(size=n)) if wide else (rng.integers(0, 8, n).astype(float), rng.integers(0, 12, n).astype(float))
+        x[: int(n * hot)] = 3.0
         s = nx = ny = 0
         for i in range(n):
             for j in range(i):
                 a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
                 s, nx, ny = s + a * b, nx + abs(a), ny + abs(b)
         want = s / math.sqrt(nx * ny) if nx * ny else None
-        got = kendall_tau_b(x, y)
+        odd = [(None, 1.0), (float("nan"), 2.0), (5.0, None)]
+        df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + odd, "x double, y double")
+        got = correlations(df, [("x", "y")], "kendall", range_rows=25)[("x", "y")]
         assert got == want or abs(got - want) < 1e-12
 
 
