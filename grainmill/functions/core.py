@@ -77,13 +77,25 @@ def unique_counts(data: DataFrame, names: Sequence[str]) -> dict[str, int]:
 
 
 def categories(data: DataFrame, names: Sequence[str]) -> dict[str, list]:
-    """The sorted values of each column without missing ones, collected in one pass; for columns known to have few."""
+    """The sorted values of each column without missing ones, collected in one pass; for columns whose values were counted and are few."""
     if not names:
         return {}
     row = fit(data, {c: F.sort_array(F.collect_set(present(data, c))) for c in names})
     return {c: row[c] for c in names}
 
 
+#: Different values of a column that may come to the driver and into a plan. More are an error: a code or a column for each is no use then.
+MOST_VALUES = 10_000
+
+
+def few_values(data: DataFrame, name: str, most: int = MOST_VALUES) -> list:
+    """The sorted values of a column without missing ones; an error beyond `most`, of which no task or driver holds more."""
+    values = data.select(present(data, name).alias("v")).where("v is not null").distinct().orderBy("v").limit(most + 1).collect()
+    if len(values) > most:
+        raise ValueError(f"{name} has more than {most} different values")
+    return [r["v"] for r in values]
+
+
 def code(data: DataFrame, name: str, values: Sequence) -> Column:
     """The position of the value among the sorted values, -1 if missing."""
     if not values:
@@ -97,7 +109,8 @@ def number_rows(data: DataFrame, order_by: str | Sequence[str], name: str) -> Da
 
     A window without partitions would send all rows to one task. Instead the first order column is
     cut at its approximate quantiles (literals, so every task and every rerun agrees), rows are
-    numbered within each range, and the counts of the ranges before give the offsets.
+    numbered within each range, and the counts of the ranges before give the offsets. Strings are
+    cut at values of a sample; only other types fall back to one window.
     """
     order = require(data, order_by)
     full = [named(c).asc_nulls_first() for c in order]
@@ -118,13 +131,33 @@ def running_total(data: DataFrame, order_by: str, amount: str, name: str) -> Dat
 def _ranged(data: DataFrame, lead: str) -> DataFrame | None:
     """data with `_range`, the number of the quantile range of its lead column; None if that has no quantiles."""
     parts = max(2, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if isinstance(kind(data, lead), T.StringType):
+        return data.withColumn("_range", _range_of(named(lead), F.lit(_string_cuts(data, lead, parts)).cast("array<string>")))
     if not isinstance(kind(data, lead), (*NUMERIC, *TEMPORAL)):
         return None
     key = present(data, lead) if isinstance(kind(data, lead), NUMERIC) else _micros(data, lead)
     cuts = fit(data, {"q": F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)})["q"] or []
     cuts = F.lit(sorted(set(cuts))).cast("array<double>" if isinstance(kind(data, lead), FLOATING) else "array<bigint>") if cuts else F.array().cast("array<bigint>")
-    part = F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c < key)))
-    return data.withColumn("_range", part)
+    return data.withColumn("_range", _range_of(key, cuts))
+
+
+def _range_of(key: Column, cuts: Column) -> Column:
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c < key)))
+
+
+def _string_cuts(data: DataFrame, name: str, parts: int) -> list[str]:
+    """Up to parts - 1 values that cut a string column into ranges of about as many rows: quantiles of the values whose
+    hash falls into a share of all, some 100 a range, each with its number of rows. Any cuts give right numbers."""
+    n = data.where(named(name).isNotNull()).count()
+    share = max(n // (100 * parts), 1)
+    sample = data.where(named(name).isNotNull() & (F.pmod(F.xxhash64(named(name)), F.lit(share)) == 0))
+    counts = sample.groupBy(named(name).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+    step, seen, cuts = sum(r["n"] for r in counts) / parts, 0, []
+    for r in counts[:-1]:
+        seen += r["n"]
+        if seen >= step * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append(r["v"])
+    return cuts
 
 
 def _before(ranged: DataFrame, amount: Column) -> Column:

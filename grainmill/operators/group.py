@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
-from grainmill.functions.core import as_list, fit, hash_order, is_numeric, named, numeric_columns, number, present, require
+from grainmill.functions.core import as_list, few_values, fit, hash_order, is_numeric, named, numeric_columns, number, present, require
 
 #: Minutes of the named frequencies; a month has thirty days, or the 22.5 that the number 32400 stands for.
 FREQUENCIES = {"quarter": 240, "half": 720, "full": 1440, "week": 10080, "month": 43200, "year": 525600}
@@ -161,8 +161,8 @@ def df_print_values(data: DataFrame, n: int = 5, show: bool = False) -> DataFram
 
 
 def col_to_cols(data: DataFrame, label_col: str, handler_col: str, with_metric: bool = False) -> DataFrame:
-    """One row per (value column, handler), the labels as columns holding sums; the labels are collected first, in one job."""
-    labels = [r[0] for r in data.select(named(label_col)).where(named(label_col).isNotNull()).distinct().orderBy(named(label_col)).collect()]
+    """One row per (value column, handler), the labels, up to MOST_VALUES of them, as columns holding sums."""
+    labels = few_values(data, label_col)
     values = numeric_columns(data, [label_col, handler_col])
     sums = [F.sum(F.when(named(label_col) == x, present(data, v))).alias(f"{i}_{j}") for i, v in enumerate(values) for j, x in enumerate(labels)]
     wide = data.groupBy(named(handler_col)).agg(*sums)

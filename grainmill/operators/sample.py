@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from grainmill.functions.core import as_list, hash_order, named, number_rows, require
+from grainmill.functions.core import MOST_VALUES, as_list, hash_order, named, number_rows, require
 
 
 def _order(data: DataFrame, key: str | Sequence[str] | None, seed: int) -> Column:
@@ -85,17 +85,21 @@ def array_random_weighted(data: DataFrame, x: str, weights: str | Sequence[float
     """size draws with replacement from the values of x: (draw, x).
 
     weights: a column of the frame; probabilities in the order of x; or normal, poisson or laplace for weights from a
-    Dirichlet distribution whose parameters are ten plus such numbers. The values are few; draws are made by tasks.
+    Dirichlet distribution whose parameters are ten plus such numbers. The frame has up to MOST_VALUES rows, else it is an
+    error; draws are made by tasks, each from the hash of its number and the seed.
     """
     rng = np.random.default_rng(seed)
-    if isinstance(weights, str) and weights in ("normal", "poisson", "laplace"):
-        values = [r[0] for r in data.select(named(x)).orderBy(named(x)).collect()]
-        p = rng.dirichlet(np.maximum(getattr(rng, weights)(size=len(values)) + 10, 1e-3))
+    of_column = isinstance(weights, str) and weights not in ("normal", "poisson", "laplace")
+    found = data.select(named(x).alias("x"), (named(weights) if of_column else F.lit(0)).cast("double").alias("w")).orderBy("x").limit(MOST_VALUES + 1).collect()
+    if len(found) > MOST_VALUES:
+        raise ValueError(f"there are more than {MOST_VALUES} values to draw from")
+    values = [r["x"] for r in found]
+    if of_column:
+        p = np.array([r["w"] for r in found], float)
     elif isinstance(weights, str):
-        found = data.select(named(x), named(weights).cast("double")).orderBy(named(x)).collect()
-        values, p = [r[0] for r in found], np.array([r[1] for r in found], float)
+        p = rng.dirichlet(np.maximum(getattr(rng, weights)(size=len(values)) + 10, 1e-3))
     else:
-        values, p = [r[0] for r in data.select(named(x)).orderBy(named(x)).collect()], np.asarray(weights, float)
+        p = np.asarray(weights, float)
     if len(p) != len(values) or (p < 0).any() or not p.sum():
         raise ValueError("weights are as many as values, none negative, not all 0")
     ends = np.cumsum(p / p.sum())
@@ -104,7 +108,8 @@ def array_random_weighted(data: DataFrame, x: str, weights: str | Sequence[float
     kind = data.schema[x].dataType
     known = F.lit(values).cast(T.ArrayType(kind))
     bounds = F.lit(ends.tolist()).cast("array<double>")
-    u = spark.range(size).select(F.col("id").alias("draw"), F.rand(seed).alias("u"))
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53))
+    u = spark.range(size).select(F.col("id").alias("draw"), (part / float(1 << 53)).alias("u"))
     at = F.size(F.filter(bounds, lambda b: b <= F.col("u")))
     return u.select("draw", F.get(known, at).alias(x))
 

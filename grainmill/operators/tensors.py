@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from grainmill.functions.core import as_list, hash_order, named, number, number_rows, require
 
@@ -16,17 +16,27 @@ def array_reshape_conv1d(data: DataFrame, cols: str | Sequence[str], out: str =
     return data.withColumn(out, F.transform(flat, lambda v: F.array(v.cast("double"))))
 
 
+#: Neighbouring rows that share a task when windows are made.
+BLOCK_ROWS = 16_384
+
+
 def sequence_windows(data: DataFrame, value: str, seq_len: int, order_by: str | Sequence[str], normalise_window: bool = False) -> DataFrame:
     """(idx, window): the N - (seq_len + 1) windows of seq_len + 1 values in order, each over its first value less 1 if normalised.
 
-    A window reaches over range boundaries, so it is put together from its rows: every row joins the
-    windows it is part of, seq_len + 1 of them, by their index. No task sees more than its share.
+    Rows are dealt in blocks of neighbours; the first seq_len of a block go to the block before as well, so that each
+    window lies in one task, and hardly a row travels twice.
     """
     length = seq_len + 1
-    rows = number_rows(data.select(number(data, value).alias("v"), *(named(c) for c in as_list(order_by) if c != value)) if value not in as_list(order_by) else data.withColumn("v", number(data, value)), as_list(order_by), "_rn").select("_rn", "v")
+    order = as_list(order_by)
+    rows = number_rows(data.select(number(data, value).alias("v"), *(named(c).alias(f"o{i}") for i, c in enumerate(order))), [f"o{i}" for i in range(len(order))], "_rn").select("_rn", "v")
     n = data.count()
-    part = rows.select(F.explode(F.sequence(F.greatest(F.col("_rn") - (length - 1), F.lit(0)), F.col("_rn"))).alias("idx"), "_rn", "v").where(F.col("idx") < n - length)
-    made = part.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("_rn", "v"))).alias("w"))
+    size = max(BLOCK_ROWS, 4 * length)
+    block = F.floor(F.col("_rn") / size)
+    blocks = F.when((F.col("_rn") % size < seq_len) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    dealt = rows.select("_rn", "v", F.explode(blocks).alias("block"))
+    ahead = Window.partitionBy("block").orderBy("_rn").rowsBetween(0, seq_len)
+    made = dealt.select(F.col("_rn").alias("idx"), "block", F.collect_list(F.struct("v")).over(ahead).alias("w"))
+    made = made.where((F.floor(F.col("idx") / size) == F.col("block")) & (F.col("idx") < n - length))
     window = F.transform("w", lambda s: s["v"])
     if normalise_window:
         made = made.withColumn("w0", F.get(window, F.lit(0)))

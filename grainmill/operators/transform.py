@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from grainmill.functions.core import as_list, categories, code, fit, is_numeric, kind, named, number, numeric_columns, present, require, string_columns, unique_counts, with_columns
+from grainmill.functions.core import as_list, categories, code, few_values, fit, is_numeric, kind, named, number, numeric_columns, present, require, string_columns, unique_counts, with_columns
 from grainmill.operators.clean import is_number, string_contains_to_binary
 
 
@@ -88,7 +88,7 @@ def col_to_biclass(data: DataFrame, col: str, true_value, destructive: bool = Fa
 
 def col_to_binary(data: DataFrame, col: str, func: str | float | int = "median", destructive: bool = False) -> DataFrame:
     """Whether the value is at least the mean, median, smallest mode, a number (int) or a quantile (float); or its category's code
-    (cat_string), or its fifth (cat_numeric: 0 to 4, -1 if missing); anything else leaves the column as it is."""
+    (cat_string; up to MOST_VALUES of them), or its fifth (cat_numeric: 0 to 4, -1 if missing); anything else leaves the column as it is."""
     x = present(data, col)
     at_least = lambda s: with_columns(data, {col: F.coalesce(x >= F.lit(s), F.lit(False))})
     if isinstance(func, int):
@@ -100,7 +100,7 @@ def col_to_binary(data: DataFrame, col: str, func: str | float | int = "median",
     if func == "mode":
         return at_least(fit(data, {"s": F.mode(x, True)})["s"])
     if func == "cat_string":
-        return with_columns(data, {col: code(data, col, categories(data, [col])[col])})
+        return with_columns(data, {col: code(data, col, few_values(data, col))})
     if func == "cat_numeric":
         edges = fit(data, {"q": F.percentile(number(data, col), F.array(*(F.lit(i / 5) for i in range(6))))})["q"]
         return with_columns(data, {col: _bin(number(data, col), sorted(set(edges or [])))})
@@ -168,8 +168,8 @@ def _dummies(data: DataFrame, name: str, values: Sequence, names: Sequence[str])
 
 
 def col_to_multilabel(data: DataFrame, col: str, colnames: Sequence[str] | None = None, extended_colname: bool = False, extended_separator: str = "_") -> DataFrame:
-    """A 0/1 column for each sorted value in place of the column, appended; a missing value is all zeros."""
-    values = categories(data, [col])[col]
+    """A 0/1 column for each sorted value in place of the column, appended; a missing value is all zeros. Beyond MOST_VALUES values it is an error."""
+    values = few_values(data, col)
     names = list(colnames) if colnames else [f"{col}{extended_separator}{v}" if extended_colname else str(v) for v in values]
     return with_columns(data, _dummies(data, col, values, names)).select(*(named(c) for c in data.columns if c != col), *(named(n) for n in names))
 
@@ -274,7 +274,7 @@ def value_starts_with(data: DataFrame, col: str) -> DataFrame:
 def starts_with_output(data: DataFrame, col: str) -> DataFrame:
     """The codes of the first characters."""
     firsts = value_starts_with(data, col)
-    return with_columns(firsts, {col: code(firsts, col, categories(firsts, [col])[col])})
+    return with_columns(firsts, {col: code(firsts, col, few_values(firsts, col))})
 
 
 def to_category_labels(data: DataFrame, max_categories: int | str | None = "auto", starts_with_col: str | None = None, col_that_contains: str | None = None, col_contains_strings: Sequence[str] = ()) -> DataFrame:

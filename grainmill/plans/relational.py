@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import grainmill as g
+from grainmill.functions.core import number_rows
 from grainmill.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,6 +267,27 @@ def df_corr_extratrees(spark, d):
     return g.df_corr_extratrees(load(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice", "l_linenumber"), "l_linenumber")
 
 
+def _planted(spark, d):
+    """A label that depends on l_linenumber most, on l_discount less and not on l_quantity and l_tax."""
+    y = F.when(F.col("l_linenumber") >= 4, 2).otherwise(0) + F.when(F.col("l_discount") >= 0.05, 1).otherwise(0)
+    return load(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_linenumber", y.alias("y"))
+
+
+def _places(importances):
+    best = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "column")))
+    return importances.agg(F.get(best, F.lit(0))["column"].alias("first"), F.get(best, F.lit(1))["column"].alias("second"), F.round(F.sum("importance"), 6).alias("total"))
+
+
+@query("SELECT 'l_linenumber' AS first, 'l_discount' AS second, 1.0::DOUBLE AS total")
+def randomforest_planted(spark, d):
+    return _places(g.df_corr_randomforest(_planted(spark, d), "y"))
+
+
+@query("SELECT 'l_linenumber' AS first, 'l_discount' AS second, 1.0::DOUBLE AS total")
+def extratrees_planted(spark, d):
+    return _places(g.df_corr_extratrees(_planted(spark, d), "y"))
+
+
 # Dropping and predicates
 
 
@@ -614,16 +637,20 @@ def array_to_generator(spark, d):
     return batches(load(spark, d, "orders").select("o_orderkey"), 64, "o_orderkey")
 
 
-@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders")
+@query("SELECT count(*) AS n, sum(o_orderkey * (o_custkey % 101))::BIGINT AS pairs, true AS mixed FROM orders")
 def array_random_shuffle(spark, d):
-    return g.shuffle(load(spark, d, "orders").select("o_orderkey"), key="o_orderkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+    got = g.shuffle(load(spark, d, "orders").select("o_orderkey", "o_custkey"), key="o_orderkey").withColumn("at", F.monotonically_increasing_id())
+    placed = number_rows(got, "at", "place")
+    pairs = F.sum(F.col("o_orderkey") * (F.col("o_custkey") % 101)).alias("pairs")
+    return placed.agg(F.count("*").alias("n"), pairs, (F.abs(F.corr("place", "o_orderkey")) < 0.1).alias("mixed"))
 
 
-@query("SELECT 5000::BIGINT AS n, true AS inside FROM region LIMIT 1")
+@query("SELECT r_regionkey, true AS near_weight FROM region WHERE r_regionkey < 4")
 def array_random_weighted(spark, d):
-    r = load(spark, d, "region").select("r_regionkey")
-    got = g.array_random_weighted(r, "r_regionkey", [0.5, 0.2, 0.1, 0.1, 0.1], 5000)
-    return got.agg(F.count("r_regionkey").alias("n"), F.bool_and(F.col("r_regionkey").between(0, 4)).alias("inside"))
+    weights = [0.5, 0.25, 0.15, 0.1, 0.0]
+    got = g.array_random_weighted(load(spark, d, "region").select("r_regionkey"), "r_regionkey", weights, 5000)
+    share = F.count("*") / 5000 - F.get(F.lit(weights), F.col("r_regionkey").cast("int"))
+    return got.groupBy("r_regionkey").agg((F.abs(share) < 0.03).alias("near_weight"))
 
 
 @query("SELECT c_mktsegment, 20::BIGINT AS n FROM customer GROUP BY 1")
@@ -643,11 +670,13 @@ def df_resample_id(spark, d):
     return g.df_resample_id(load(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", order_by=EVENT_ORDER).select("user_id", "event_id")
 
 
-@query("""WITH r AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, count(*) OVER () AS n, lead(value, 10) OVER (ORDER BY ts, event_id) AS last FROM events)
-SELECT idx, CASE WHEN idx < round_even(0.9 * (n - 11), 0) THEN 'train' ELSE 'test' END AS split, round(last / value - 1, 6) AS y FROM r WHERE idx < n - 11""")
+@query("""WITH r AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, count(*) OVER () AS n, lead(value, 1) OVER w AS second, lead(value, 5) OVER w AS sixth, lead(value, 9) OVER w AS tenth, lead(value, 10) OVER w AS last FROM events WINDOW w AS (ORDER BY ts, event_id))
+SELECT idx, CASE WHEN idx < round_even(0.9 * (n - 11), 0) THEN 'train' ELSE 'test' END AS split, 10::INT AS width, round(value / value - 1, 6) AS x0, round(second / value - 1, 6) AS x1, round(sixth / value - 1, 6) AS x5, round(tenth / value - 1, 6) AS x9,
+round(last / value - 1, 6) AS y FROM r WHERE idx < n - 11""")
 def array_reshape_lstm(spark, d):
     got = g.array_reshape_lstm(load(spark, d, "events"), "value", 10, True, order_by=EVENT_ORDER)
-    return _round(got.select("idx", "split", "y"), "y")
+    places = [F.col("x")[i][0].alias(f"x{i}") for i in (0, 1, 5, 9)]
+    return _round(got.select("idx", "split", F.size("x").alias("width"), *places, "y"), "x0", "x1", "x5", "x9", "y")
 
 
 @query("SELECT event_id, '[[' || value || ']]' IS NOT NULL AS ok, 1::INT AS depth FROM events")
@@ -686,17 +715,21 @@ def create_datetime_col(spark, d):
     return g.create_datetime_col(spark, "2020-02-27", "2020-03-01", "hour")[0].withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
 
 
-@query("SELECT 1000::BIGINT AS n, 20::INT AS width, 0::INT AS low, 3::INT AS high")
+@query("""SELECT * FROM (VALUES ('binary', 1000::BIGINT, 20::INT, 2::BIGINT, true), ('multi_class', 1000, 20, 4, true), ('multi_label', 1000, 20, 2, true), ('continuous', 1000, 20, 1000, true))
+t(mode, n, width, labels, inside)""")
 def create_synth_data(spark, d):
-    return g.create_synth_data(spark, "multi_class").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width"), F.min("y").alias("low"), F.max("y").alias("high"))
+    def seen(mode, low, high):
+        made = g.create_synth_data(spark, mode)
+        y = made.select(F.size("x").alias("w"), "id", F.explode("y").alias("y")) if mode == "multi_label" else made.select(F.size("x").alias("w"), "id", "y")
+        inside = F.col("y").between(low, high)
+        return y.agg(F.lit(mode).alias("mode"), F.count_distinct("id").alias("n"), F.max("w").alias("width"), F.count_distinct("y").alias("labels"), F.bool_and(inside).alias("inside"))
+
+    parts = [seen("binary", 0, 1), seen("multi_class", 0, 3), seen("multi_label", 0, 1), seen("continuous", -1e5, 1e5)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("SELECT event_type, round(sum(value), 6) AS value, time_bucket(INTERVAL 240 MINUTE, ts) + INTERVAL 240 MINUTE AS ts FROM events GROUP BY ALL")
 def stream_resample_static(spark, d):
     events = load(spark, d, "events").select("event_type", "ts", "value")
-    types = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
-    out = None
-    for t in types:
-        part = g.stream_resample_interval(events.where(F.col("event_type") == t), "value", "ts", "sum", 240).withColumn("event_type", F.lit(t))
-        out = part if out is None else out.unionByName(part)
+    out = g.stream_resample_interval(events, "value", "ts", "sum", 240, keys="event_type")
     return _round(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "value")

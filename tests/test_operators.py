@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import grainmill as g
-from grainmill.functions.core import number_rows
+from grainmill.functions.core import MOST_VALUES, few_values, number_rows
 from grainmill.operators.corr import correlations
 from grainmill.operators.transform import bucket_edges, edge_label
 
@@ -65,6 +65,34 @@ def test_number_rows_agrees_with_a_global_sort(spark):
     assert rows(number_rows(df, ["a", "b"], "n").orderBy("n")) == [(*r, i) for i, r in enumerate(want)]
 
 
+def test_number_rows_cuts_strings_at_sampled_values(spark):
+    pick = random.Random(0)
+    data = [(pick.choice([None, "", "hot", "hot", "zoë", "a" * 5000, str(pick.random())]), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "`s.t` string, b int").repartition(7)
+    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    numbered = number_rows(df, ["s.t", "b"], "n")
+    assert rows(numbered.orderBy("n")) == [(*r, i) for i, r in enumerate(want)]
+    assert numbered.select(F.spark_partition_id()).distinct().count() > 1
+    assert number_rows(df.where("b < 0"), ["s.t"], "n").count() == 0
+    assert rows(number_rows(spark.createDataFrame([(None,)], "s string"), "s", "n")) == [(None, 0)]
+
+
+def test_many_values_are_an_error(spark):
+    many = spark.range(MOST_VALUES + 1).select(F.col("id").alias("k"), F.col("id").cast("string").alias("s"), F.lit(1.0).alias("v"))
+    for f in (lambda: g.col_to_multilabel(many, "s"), lambda: g.col_to_binary(many, "s", "cat_string"), lambda: g.col_to_cols(many, "s", "k"), lambda: g.array_random_weighted(many, "k", "v", 5)):
+        with pytest.raises(ValueError, match="more than"):
+            f()
+    assert few_values(many.where("k < 3").union(many.where("k < 2")), "k") == [0, 1, 2]
+
+
+def test_weighted_draws(spark):
+    df = spark.createDataFrame([("a", 3.0), ("b", 0.0), ("c", 1.0)], "x string, w double")
+    got = g.array_random_weighted(df, "x", "w", 4000, seed=1)
+    n = {r[0]: r[1] for r in got.groupBy("x").count().collect()}
+    assert set(n) == {"a", "c"} and abs(n["a"] / 4000 - 0.75) < 0.03
+    assert rows(got.orderBy("draw")) == rows(g.array_random_weighted(df.repartition(3), "x", "w", 4000, seed=1).orderBy("draw"))
+
+
 def test_bucket_labels():
     edges = bucket_edges(1, 10, 5)
     assert [edge_label(e) for e in edges] == ["0.991", "2.8", "4.6", "6.4", "8.2", "10.0"]
@@ -239,3 +267,14 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(spark.sql("SELECT ts, round(value, 4) FROM resampled"), "ts")
     want = rows(g.stream_resample_interval(events, "value", "ts", "sum", 240).select("ts", F.round("value", 4)), "ts")
     assert got == want and len(got) > 100
+
+
+def test_sequences_reach_over_blocks(spark, monkeypatch):
+    from grainmill.operators import tensors
+
+    monkeypatch.setattr(tensors, "BLOCK_ROWS", 1)
+    values = [None if i % 17 == 3 else float(i * i % 101) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "t int, v double").repartition(5)
+    for seq_len in (1, 3, 7):
+        got = tensors.sequence_windows(df, "v", seq_len, "t").orderBy("idx").collect()
+        assert [(r["idx"], r["window"]) for r in got] == [(i, values[i : i + seq_len + 1]) for i in range(200 - seq_len - 1)]
