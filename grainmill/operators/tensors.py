@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from grainmill.functions.core import as_list, hash_order, named, number, number_rows, require
 
@@ -17,7 +17,7 @@ def array_reshape_conv1d(data: DataFrame, cols: str | Sequence[str], out: str =
 
 
 #: Neighbouring rows that share a task when windows are made.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 2_048
 
 
 def sequence_windows(data: DataFrame, value: str, seq_len: int, order_by: str | Sequence[str], normalise_window: bool = False) -> DataFrame:
@@ -34,13 +34,14 @@ def sequence_windows(data: DataFrame, value: str, seq_len: int, order_by: str |
     block = F.floor(F.col("_rn") / size)
     blocks = F.when((F.col("_rn") % size < seq_len) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
     dealt = rows.select("_rn", "v", F.explode(blocks).alias("block"))
-    ahead = Window.partitionBy("block").orderBy("_rn").rowsBetween(0, seq_len)
-    made = dealt.select(F.col("_rn").alias("idx"), "block", F.collect_list(F.struct("v")).over(ahead).alias("w"))
-    made = made.where((F.floor(F.col("idx") / size) == F.col("block")) & (F.col("idx") < n - length))
-    window = F.transform("w", lambda s: s["v"])
+    made = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_rn", "v"))).alias("w"))
+    values, start = F.transform("w", lambda s: s["v"]), F.col("w")[0]["_rn"]
+    made = made.select(start.alias("start"), values.alias("values"), F.least(F.lit(size), F.size("w"), n - length - start).cast("int").alias("own")).where("own > 0")
+    made = made.select("start", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.slice("values", i, length))).alias("at", "w"))
+    made, window = made.select((F.col("start") + F.col("at")).alias("idx"), "w"), F.col("w")
     if normalise_window:
         made = made.withColumn("w0", F.get(window, F.lit(0)))
-        window = F.transform("w", lambda s: F.try_divide(s["v"], F.col("w0")) - 1)
+        window = F.transform(window, lambda v: F.try_divide(v, F.col("w0")) - 1)
     return made.select("idx", window.alias("window"))
 
 
