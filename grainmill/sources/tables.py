@@ -26,7 +26,7 @@ def read_large_csv(spark: SparkSession, file_path: str, n: int | None = None, co
 
 
 def create_synth_data(spark: SparkSession, mode: str = "binary", n: int = 1000, features: int = 20, classes: int = 4, seed: int = 0) -> DataFrame:
-    """n rows of (x: array of features, y): y is 0/1, a class, an array of 0/1 per class, or a noisy linear function of x
+    """n rows of (x: array of features, y): y is 0/1, a class, an array of 0/1 per class, or a linear function of x
     (mode binary, multi_class, multi_label, continuous)."""
     uniform = lambda k: F.rand(seed * 1000 + k)
     x = F.array(*((F.randn if mode == "continuous" else F.rand)(seed * 1000 + k) for k in range(features)))
