@@ -14,7 +14,8 @@ all triples or pairs (`_positions`).
 
 Skew and scale
 * Equal fingerprints are one node, whatever their number: a group of copies is aggregated before
-  anything is indexed (map-side combine), and comes back through one equi-join.
+  anything is indexed (map-side combine), and comes back through one equi-join, in which nodes of over
+  a thousandth of all rows (fewer than a thousand such nodes) meet theirs by broadcast.
 * No pair list of a bucket is ever emitted: a bucket's pairs are compared in place, in blocks, and
   leave as a spanning forest of at most n-1 links.
 * A list of more than `max_list` fingerprints is not compared as it is but *refined*, exactly: the
@@ -38,7 +39,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainmill.llm._common import Placed, forget, map_arrow, with_arrow, written
 
@@ -286,6 +287,19 @@ def _met(left: DataFrame, right: DataFrame, key: str, spread: int = 16) -> DataF
     return left.withColumn("salt", salt).join(salted, [key, "salt"]).drop("salt")
 
 
+def hot(nodes: DataFrame, share: int = 1000) -> Column:
+    """Whether a node holds more than 1/share of all rows (`n` of nodes (node, n, ...)). Fewer than `share` nodes do, so these may be broadcast."""
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    return F.col("n") * share > total
+
+
+def joined_by_node(rows: DataFrame, named: DataFrame, is_hot: Column) -> DataFrame:
+    """rows joined with named (one row per node, with its number of rows `n`): hot nodes by broadcast, where the rows lie, the others by a shuffle."""
+    many = F.broadcast(named.where(is_hot).drop("n"))
+    others = rows.join(many.select("node"), "node", "left_anti").join(named.where(~is_hot).drop("n"), "node")
+    return rows.join(many, "node").unionByName(others)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, lanes: int = 1, max_bits: int = 3, max_list: int = 4096) -> DataFrame:
     """docs without the text, and `fingerprint` (hex digits of lane 0) and `component_id`.
 
@@ -306,7 +320,7 @@ def _grouped(placed: Placed, id_col: str, text: str, width: int, lanes: int, max
     own = placed.df.withColumn("marked_text", placed(text).cast("string")).drop(placed.place(text))
     marked = written(fingerprints(own, "marked_text", width, lanes, "lanes"), "simhash-lanes")
     marked = marked.withColumn("node", F.col("lanes")[0] if lanes == 1 else F.xxhash64("lanes"))
-    nodes = marked.groupBy("node").agg(F.first("lanes").alias("lanes"), F.min(placed.place(id_col)).alias("least"))
+    nodes = marked.groupBy("node").agg(F.first("lanes").alias("lanes"), F.min(placed.place(id_col)).alias("least"), F.count("*").alias("n"))
     nodes = written(nodes, "simhash-nodes")
     edges = links(nodes.select("node", "lanes"), lanes, max_bits, max_list)
     roots = components(edges)
@@ -314,9 +328,10 @@ def _grouped(placed: Placed, id_col: str, text: str, width: int, lanes: int, max
     grown = nodes.select("node", "least").join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
     smallest = grown.groupBy("root").agg(F.min("least").alias("component_id"))
     grown = _met(grown.select("node", "root"), smallest, "root").select("node", "root", "component_id")
-    named = nodes.select("node", "least").join(grown, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    named = nodes.select("node", "least", "n").join(grown, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     hex_digits = F.lpad(F.lower(F.hex(F.col("lanes")[0])), 16, "0")
-    return marked.join(named, "node").withColumn("fingerprint", hex_digits), edges
+    met = joined_by_node(marked, written(named, "simhash-named"), hot(nodes))
+    return met.withColumn("fingerprint", hex_digits), edges
 
 
 def pick_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -128,3 +128,13 @@ def test_keep_one_tells_components_apart_whatever_their_ids(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     for kept in (simhash.keep_one(docs, width=5, lanes=8), simhash.keep_one(docs, width=5, similarity=0.8)):
         assert sorted(r.extra for r in kept.collect()) == ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("share", [1, 3, 1000])
+def test_hot_nodes_meet_their_names_once(spark, share):
+    rows = spark.createDataFrame([(i, 7 if i % 2 else i) for i in range(40)], "id int, node bigint")
+    named = rows.groupBy("node").count().withColumnRenamed("count", "n").selectExpr("node", "n", "node * 10 as root")
+    is_hot = simhash.hot(named, share)
+    assert named.where(is_hot).count() == {1: 0, 3: 1, 1000: named.count()}[share]
+    got = simhash.joined_by_node(rows, named, is_hot).collect()
+    assert sorted((r.id, r.root) for r in got) == [(i, 70 if i % 2 else i * 10) for i in range(40)]
