@@ -45,13 +45,13 @@ def corpus(n: int = 260, seed: int = 3) -> dict:
     return out | {1: "", 2: None, 4: " "}
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_groups_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "block_words"), [(7, 1 << 22), (1024, 900), (1024, 1 << 22)])
+def test_groups_equal_brute_force(spark, block, block_words):
     texts = corpus()
     want = brute(texts)
     assert len(texts) / 4 < len(set(want.values())) < len(texts) * 0.9
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
-    rows = minhash.groups(docs, block=block).collect()
+    rows = minhash.groups(docs, block=block, block_words=block_words).collect()
     roots: dict = {}
     for r in rows:
         roots[r.root] = min(r.id, roots.get(r.root, r.id))
