@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -76,6 +77,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: pools and heap keep it otherwise, and an idle worker holds it beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow, with this package's folder on the Python path of the workers, wherever the driver was started.
 
@@ -89,7 +100,14 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataF
     paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], outputs: dict[str, T.DataType], keep: list[str] | None = None) -> DataFrame:
@@ -104,5 +122,6 @@ def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]
             if b.num_rows:
                 new = fn(pa.RecordBatch.from_arrays(b.columns, names=names))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *(new[k] for k in outputs)], names=inner)
+                give_back()
 
     return map_arrow(df.toDF(*(f"c{i}" for i in range(len(names)))), run, schema).toDF(*(names[i] for i in keep), *outputs)
