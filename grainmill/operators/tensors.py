@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.functions.core import as_list, hash_order, named, number, number_rows, require
 
@@ -16,12 +16,19 @@ def array_reshape_conv1d(data: DataFrame, cols: str | Sequence[str], out: str =
     return data.withColumn(out, F.transform(flat, lambda v: F.array(v.cast("double"))))
 
 
+def _ratio(v: Column, by: Column) -> Column:
+    """v / by as IEEE 754 has it, also by zero (0 / 0 is NaN, others are infinite); Spark's own division gives null or an error."""
+    sign = F.signum(v) * F.when(by.cast("string") == "-0.0", -1.0).otherwise(1.0)
+    by_zero = F.when(v == 0, F.lit(float("nan"))).otherwise(sign * float("inf"))
+    return F.when(by == 0, F.when(v.isNotNull(), by_zero)).otherwise(v / F.when(by != 0, by))
+
+
 #: Neighbouring rows that share a task when windows are made.
 BLOCK_ROWS = 2_048
 
 
 def sequence_windows(data: DataFrame, value: str, seq_len: int, order_by: str | Sequence[str], normalise_window: bool = False) -> DataFrame:
-    """(idx, window): the N - (seq_len + 1) windows of seq_len + 1 values in order, each over its first value less 1 if normalised.
+    """(idx, window): the N - (seq_len + 1) windows of seq_len + 1 values in order, each over its first value less 1 if normalised (NaN or infinite after a zero).
 
     Rows are dealt in blocks of neighbours; the first seq_len of a block go to the block before as well, so that each
     window lies in one task, and hardly a row travels twice.
@@ -41,7 +48,7 @@ def sequence_windows(data: DataFrame, value: str, seq_len: int, order_by: str |
     made, window = made.select((F.col("start") + F.col("at")).alias("idx"), "w"), F.col("w")
     if normalise_window:
         made = made.withColumn("w0", F.get(window, F.lit(0)))
-        window = F.transform(window, lambda v: F.try_divide(v, F.col("w0")) - 1)
+        window = F.transform(window, lambda v: _ratio(v, F.col("w0")) - 1)
     return made.select("idx", window.alias("window"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import grainmill as g
 from grainmill.functions.core import MOST_VALUES, few_values, number_rows
 from grainmill.operators.corr import correlations
+from grainmill.operators.tensors import sequence_windows
 from grainmill.operators.transform import bucket_edges, edge_label
 
 NAN = float("nan")
@@ -278,3 +279,11 @@ def test_sequences_reach_over_blocks(spark, monkeypatch):
     for seq_len in (1, 3, 7):
         got = tensors.sequence_windows(df, "v", seq_len, "t").orderBy("idx").collect()
         assert [(r["idx"], r["window"]) for r in got] == [(i, values[i : i + seq_len + 1]) for i in range(200 - seq_len - 1)]
+
+
+def test_windows_that_begin_with_zero_divide_by_it(spark):
+    df = spark.createDataFrame(list(enumerate([0.0, 0.0, 3.0, -2.0, -0.0, 4.0, None, 1.0, 1.0])), "t int, v double")
+    got = [r["window"] for r in sequence_windows(df, "v", 2, "t", True).orderBy("idx").collect()]
+    nan, inf = float("nan"), float("inf")
+    want = [[nan, nan, inf], [nan, inf, -inf], [0.0, -2 / 3 - 1, -1.0], [0.0, -1.0, -3.0], [nan, -inf, None], [0.0, None, 1 / 4 - 1]]
+    assert str(got) == str(want)
