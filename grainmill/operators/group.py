@@ -28,11 +28,16 @@ def _last(x: Column, order_by: Sequence[str]) -> Column:
 
 
 def _entropy(x: Column) -> Column:
-    """Shannon entropy in nats of the values normalised to sum 1, as ln S - sum(x ln x) / S: no second pass for S."""
+    """Shannon entropy in nats of the values normalised to sum 1, as ln S - sum(x ln x) / S: no second pass for S. Values that are not positive count as nothing."""
     v = F.when(x > 0, x.cast("double"))
     return F.ln(F.sum(v)) - F.sum(v * F.ln(v)) / F.sum(v)
 
 
+def _strict_entropy(x: Column) -> Column:
+    """The same by the bare formula, which has no value (NaN) for a group that holds a zero or a negative value."""
+    return F.when(F.min(x) <= 0, F.lit(float("nan"))).otherwise(_entropy(x))
+
+
 def _string(x: Column, order_by: Sequence[str]) -> Column:
     rows = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(_rank(order_by).alias("o"), x.cast("string").alias("x")))))
     return F.array_join(F.transform(rows, lambda r: r["x"]), " ")
@@ -53,6 +58,7 @@ AGGREGATES: dict[str, tuple[Callable, bool, bool]] = {
     "mode": (lambda x, o, s: F.mode(x, True), False, False),
     "string": (lambda x, o, s: _string(x, o), False, True),
     "entropy": (lambda x, o, s: _entropy(x), True, False),
+    "strict_entropy": (lambda x, o, s: _strict_entropy(x), True, False),
 }
 
 

@@ -287,3 +287,10 @@ def test_windows_that_begin_with_zero_divide_by_it(spark):
     nan, inf = float("nan"), float("inf")
     want = [[nan, nan, inf], [nan, inf, -inf], [0.0, -2 / 3 - 1, -1.0], [0.0, -1.0, -3.0], [nan, -inf, None], [0.0, None, 1 / 4 - 1]]
     assert str(got) == str(want)
+
+
+def test_entropy_of_groups_with_a_zero(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 0.0), ("b", 2.0), ("b", 2.0), ("b", None), ("c", None)], "k string, v double")
+    assert rows(g.df_to_groupby(df, "k", "entropy").select("k", F.round("v", 9)), "k") == [("a", round(math.log(2), 9)), ("b", round(math.log(2), 9)), ("c", None)]
+    strict = dict(rows(g.df_to_groupby(df, "k", "strict_entropy").select("k", F.round("v", 9))))
+    assert math.isnan(strict["a"]) and strict["b"] == round(math.log(2), 9) and strict["c"] is None
