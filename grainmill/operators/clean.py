@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from grainmill.functions.core import as_list, named, fit, is_numeric, n_unique, number, present, require, string_columns, with_columns
+from grainmill.functions.core import as_list, named, fit, is_numeric, n_unique, number, present, quantiles, require, string_columns, with_columns
 from grainmill.operators.columns import df_drop_col
 
 #: How the two numeric parsers differ is settled by this pattern: optional sign, digits with single
@@ -17,7 +17,7 @@ NUMBER = r"(?i)^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(
 def col_drop_outliers(data: DataFrame, col: str, mode: str = "zscore", threshold: float = 3, destructive: bool = False) -> DataFrame:
     """Rows without a missing value whose value is no outlier: |z| < threshold with the population deviation, or below IQR * threshold.
 
-    The statistics are one aggregate; as literals they let the filter reach the scan.
+    The statistics are scalars; as literals they let the filter reach the scan.
     """
     x = number(data, col)
     kept = data.where(present(data, col).isNotNull())
@@ -27,7 +27,7 @@ def col_drop_outliers(data: DataFrame, col: str, mode: str = "zscore", threshold
             return kept.limit(0)
         return kept.where((x - s["m"]) / s["sd"] > -threshold).where((x - s["m"]) / s["sd"] < threshold)
     if mode == "iqr":
-        q = fit(data, {"q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))})["q"]
+        q = quantiles(data, {col: [0.25, 0.75]})[col]
         return kept.where(x < (q[1] - q[0]) * threshold) if q else kept
     raise ValueError(f"mode is zscore or iqr, not {mode!r}")
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import grainmill as g
-from grainmill.functions.core import MOST_VALUES, few_values, number_rows
+from grainmill.functions import core
+from grainmill.functions.core import MOST_VALUES, few_values, modes, number_rows, quantiles
+from grainmill.operators import clean, transform
 from grainmill.operators.corr import correlations
 from grainmill.operators.tensors import sequence_windows
 from grainmill.operators.transform import bucket_edges, edge_label
@@ -330,3 +332,48 @@ def test_forests_on_odd_frames(spark):
         assert rows(make(df.select("y"), "y")) == []
     two = spark.createDataFrame([(float(i % 2), float(i % 2)) for i in range(300)], "a double, y double")
     assert rows(g.df_corr_extratrees(two, "y")) == rows(g.df_corr_randomforest(two, "y")) == [("a", 1.0)]
+
+
+def widest_state(spark, make):
+    """Aggregates that keep all different values of a column as one state, in the plans of the jobs that make starts."""
+    plans, fit = [], core.fit
+
+    def seen(data, aggregates):
+        plans.append(str(data.agg(*aggregates.values())._jdf.queryExecution().analyzed()))
+        return fit(data, aggregates)
+
+    with pytest.MonkeyPatch.context() as m:
+        for module in (core, clean, transform):
+            m.setattr(module, "fit", seen)
+        make()
+    return [w for w in ("percentile(", "median(", "mode(") if any(w in p for p in plans)]
+
+
+def test_quantiles_and_modes_keep_no_column_in_one_state(spark):
+    df = spark.createDataFrame([(i, float(i % 7) if i % 5 else None) for i in range(50)], "k int, v double")
+    assert widest_state(spark, lambda: g.col_drop_outliers(df, "v", "iqr", 1.2)) == []
+
+
+@pytest.mark.parametrize("hot", [0, 0.6, 1])
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 30_000])
+def test_quantiles_agree_with_percentile(spark, n, hot):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=n)
+    v[: int(n * hot)] = 0.25
+    df = spark.createDataFrame([(float(a),) for a in v] + [(None,), (NAN,)], "v double").repartition(5)
+    ps = [0.0, 0.25, 0.3, 0.5, 0.75, 1.0]
+    want = df.where("not isnan(v)").agg(F.percentile("v", F.array(*map(F.lit, ps)))).first()[0]
+    assert quantiles(df, {"v": ps})["v"] == want
+    assert quantiles(df.where("v is null"), {"v": ps}) == {"v": None}
+
+
+def test_quantiles_are_found_when_the_bracket_is_off(spark, monkeypatch):
+    approx = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda x, ps, accuracy: approx(x, [min(p + 0.01, 1.0) if ps[0] > 0 else p for p in ps], accuracy))
+    df = spark.range(20_001).select(F.col("id").cast("double").alias("v"))
+    assert quantiles(df, {"v": [0.5]}) == {"v": [10_000.0]}
+
+
+def test_modes_are_the_smallest_of_the_most_frequent(spark):
+    df = spark.createDataFrame([(3.0, None), (3.0, None), (-1.0, None), (-1.0, None), (NAN, NAN), (NAN, NAN), (NAN, NAN), (7.0, None)], "a double, b double")
+    assert modes(df, ["a", "b"]) == {"a": -1.0, "b": None}
