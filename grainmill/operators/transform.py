@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from grainmill.functions.core import as_list, categories, code, few_values, fit, is_numeric, kind, named, number, numeric_columns, present, require, string_columns, unique_counts, with_columns
+from grainmill.functions.core import as_list, categories, code, few_values, fit, is_numeric, kind, modes, named, number, numeric_columns, present, quantiles, require, string_columns, unique_counts, with_columns
 from grainmill.operators.clean import is_number, string_contains_to_binary
 
 
@@ -94,15 +94,18 @@ def col_to_binary(data: DataFrame, col: str, func: str | float | int = "median",
     if isinstance(func, int):
         return at_least(func)
     if isinstance(func, float):
-        return at_least(fit(data, {"q": F.percentile(number(data, col), F.lit(func))})["q"])
-    if func in ("mean", "median"):
-        return at_least(fit(data, {"s": (F.avg if func == "mean" else F.median)(number(data, col))})["s"])
+        return at_least((quantiles(data, {col: [func]})[col] or [None])[0])
+    if func == "mean":
+        return at_least(fit(data, {"s": F.avg(number(data, col))})["s"])
+    if func == "median":
+        return at_least((quantiles(data, {col: [0.5]})[col] or [None])[0])
     if func == "mode":
-        return at_least(fit(data, {"s": F.mode(x, True)})["s"])
+        counts = data.select(x.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        return at_least(fit(counts, {"s": F.min_by("v", F.struct((-F.col("n")).alias("n"), "v"))})["s"])
     if func == "cat_string":
         return with_columns(data, {col: code(data, col, few_values(data, col))})
     if func == "cat_numeric":
-        edges = fit(data, {"q": F.percentile(number(data, col), F.array(*(F.lit(i / 5) for i in range(6))))})["q"]
+        edges = quantiles(data, {col: [i / 5 for i in range(6)]})[col]
         return with_columns(data, {col: _bin(number(data, col), sorted(set(edges or [])))})
     return data
 
@@ -201,10 +204,11 @@ def array_detect_task(data: DataFrame, y: str | Sequence[str]) -> tuple[str, flo
     if len(names) > 1:
         return ("category", len(names), "onehot")
     x = number(data, names[0])
-    s = fit(data, {"a": F.min(x), "b": F.max(x), "m": F.avg(x), "md": F.median(x), "n": F.count_distinct(x)})
+    s = fit(data, {"a": F.min(x), "b": F.max(x), "m": F.avg(x), "n": F.count_distinct(x)})
     if s["b"] == 1:
         return ("binary", 1, "single")
-    return ("category", s["n"], "single") if s["m"] == s["md"] else ("continuous", s["b"] - s["a"], "single")
+    median = (quantiles(data, {names[0]: [0.5]})[names[0]] or [None])[0]
+    return ("category", s["n"], "single") if s["m"] == median else ("continuous", s["b"] - s["a"], "single")
 
 
 def col_fill_nan(data: DataFrame, cols: str | Sequence[str], fill_with=0) -> DataFrame:
@@ -216,13 +220,19 @@ def col_fill_nan(data: DataFrame, cols: str | Sequence[str], fill_with=0) -> Dat
 
 
 def _imputed(data: DataFrame, names: Sequence[str], mode: str, seed: int, truncate: bool) -> dict[str, Column]:
-    makers = {"mean": lambda x: F.avg(x), "median": lambda x: F.median(x), "mode": lambda x: F.mode(x, True), "common": lambda x: F.mode(x, True), "mean_by_std": lambda x: F.avg(x)}
-    if mode not in makers:
-        raise ValueError(f"impute_mode is one of {', '.join(makers)}, not {mode!r}")
+    known = ("mean", "median", "mode", "common", "mean_by_std")
+    if mode not in known:
+        raise ValueError(f"impute_mode is one of {', '.join(known)}, not {mode!r}")
     if not names:
         return {}
-    spread = {f"s{i}": F.stddev_samp(number(data, c)) for i, c in enumerate(names)} if mode == "mean_by_std" else {}
-    row = fit(data, {f"v{i}": makers[mode](number(data, c)) for i, c in enumerate(names)} | spread)
+    if mode in ("mean", "mean_by_std"):
+        spread = {f"s{i}": F.stddev_samp(number(data, c)) for i, c in enumerate(names)} if mode == "mean_by_std" else {}
+        row = fit(data, {f"v{i}": F.avg(number(data, c)) for i, c in enumerate(names)} | spread)
+    else:
+        gaps = fit(data, {f"g{i}": F.max(number(data, c).isNull()) for i, c in enumerate(names)})
+        holed = [c for i, c in enumerate(names) if gaps[f"g{i}"]]  # the others need no value
+        got = modes(data, holed) if mode != "median" else {c: q and q[0] for c, q in quantiles(data, {c: [0.5] for c in holed}).items()}
+        row = {f"v{i}": got.get(c) for i, c in enumerate(names)}
     out = {}
     for i, c in enumerate(names):
         v = row[f"v{i}"]
@@ -246,7 +256,7 @@ def col_impute_nan(data: DataFrame, col: str, impute_mode: str = "mean_by_std",
 
 
 def df_impute_nan(data: DataFrame, cols: str | Sequence[str] = "all", impute_mode: str = "mean_by_std", destructive: bool = False, seed: int = 0, truncate: bool = True) -> DataFrame:
-    """The same for all (or the named) numeric columns, in one aggregate and one projection."""
+    """The same for all (or the named) numeric columns, in one projection."""
     names = data.columns if cols == "all" else require(data, cols)
     return with_columns(data, _imputed(data, [c for c in names if is_numeric(data, c)], impute_mode, seed, truncate))
 
@@ -262,7 +272,7 @@ def imputing_nans(data: DataFrame, impute_columns: str | Sequence[str], impute_m
 def df_add_scorecol(data: DataFrame, metric: str, win_threshold: float = 0.66, lose_threshold: float = 0.33, win_points: int = 2, lose_points: int = -2, tie_points: int = 0, score_col_name: str = "score") -> DataFrame:
     """Points for values from the win quantile up, down to the lose quantile, and between."""
     x = number(data, metric)
-    q = fit(data, {"q": F.percentile(x, F.array(F.lit(lose_threshold), F.lit(win_threshold)))})["q"] or [None, None]
+    q = quantiles(data, {metric: [lose_threshold, win_threshold]})[metric] or [None, None]
     return data.withColumn(score_col_name, F.when(x >= q[1], F.lit(win_points)).when(x <= q[0], F.lit(lose_points)).otherwise(F.lit(tie_points)))
 
 

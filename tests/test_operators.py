@@ -352,6 +352,8 @@ def widest_state(spark, make):
 def test_quantiles_and_modes_keep_no_column_in_one_state(spark):
     df = spark.createDataFrame([(i, float(i % 7) if i % 5 else None) for i in range(50)], "k int, v double")
     assert widest_state(spark, lambda: g.col_drop_outliers(df, "v", "iqr", 1.2)) == []
+    assert widest_state(spark, lambda: g.df_impute_nan(df, impute_mode="median")) == []
+    assert widest_state(spark, lambda: g.df_impute_nan(df, impute_mode="common")) == []
 
 
 @pytest.mark.parametrize("hot", [0, 0.6, 1])
